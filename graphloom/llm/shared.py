@@ -159,25 +159,40 @@ def slices_of(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, i
         i = j
 
 
+def _word_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    plain = ~SPACE[data]
+    start = plain.copy()
+    start[1:] &= ~plain[:-1]
+    start[starts] = plain[starts]
+    end = plain
+    after = plain.copy()
+    end = after.copy()
+    end[:-1] &= ~after[1:]
+    end[ends] = after[ends]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+#: Bytes whose words are hashed at once; longer batches are cut at a space.
+PIECE = 4 << 20
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its first byte, its end, where each text's words start)."""
-    n = len(data)
-    if not n:
+    n, at, out = len(data), 0, []
+    while at < n:
+        to = min(n, at + PIECE)
+        while to < n and not SPACE[data[to]]:
+            to += 1
+        part = data[at:to]
+        starts, ends = offsets - at, offsets - 1 - at
+        s, e = _word_ends(part, starts[(starts >= 0) & (starts < to - at)], ends[(ends >= 0) & (ends < to - at)])
+        sums = BY_BYTE.sums(BYTE_VALUES[LOWER[part] if lower else part])
+        out.append((mix(BY_BYTE.slices(sums, s, e) + (e - s).astype(U64)), s + at, e + at))
+        at = to
+    if not out:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, np.zeros(len(offsets), np.int64)
-    plain = ~SPACE[data]
-    start = plain.copy()
-    start[1:] &= ~plain[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    start[edges] = plain[edges]
-    end = plain.copy()
-    end[:-1] &= ~plain[1:]
-    last = offsets[1:] - 1
-    last = last[last >= 0]
-    end[last] = plain[last]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = BY_BYTE.sums(BYTE_VALUES[LOWER[data] if lower else data])
-    h = mix(BY_BYTE.slices(sums, s, e) + (e - s).astype(U64))
+    h, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
     return h, s, e, np.searchsorted(s, offsets)
 
 
