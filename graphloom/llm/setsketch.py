@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pair = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j, if(b >= block, 0, 1) as side))")
     units = dealt.select("doc_id", "grp", F.explode(pair).alias("x")).select("doc_id", F.col("x.side").alias("side"), F.xxhash64("grp", "x.i", "x.j").alias("unit"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    work = texts.join(units, "doc_id").repartition("unit").sortWithinPartitions("unit")
+    work = texts.join(units.hint("merge"), "doc_id").repartition("unit").sortWithinPartitions("unit")
     links = work.select("unit", "doc_id", "side", "text").mapInArrow(_verify(percent), "u long, v long")
     found = S.components(links)
     by_class = classes.select("set_a", "set_b", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
