@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import setsketch, suffix_dedup
+from graphloom.llm import setsketch, substring, suffix_dedup
 
 
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
+def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=20)
+
+
 def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_suffix_automata": op5_suffix_automata,
     "op9_suffix_radix": op9_suffix_radix,
     "op10_setsketch": op10_setsketch,
 }
