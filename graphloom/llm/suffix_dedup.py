@@ -26,7 +26,7 @@ U64 = S.U64
 #: Bytes of the grams that give the first digit, and of every later digit.
 GRAM, DIGIT = 32, 50
 #: Longest stretch of a text that is scanned at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 def _stretches(length: int):
