@@ -6,22 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import setsketch, substring, suffix_dedup
+from graphloom.llm import decontam, setsketch, shared, substring, suffix_dedup
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=20)
+    return substring.dedup(_table(spark, sf_dir, "documents"), length=20)
 
 
 def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=400)
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=400)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_string_tiling": op1_string_tiling,
     "op5_suffix_automata": op5_suffix_automata,
     "op9_suffix_radix": op9_suffix_radix,
     "op10_setsketch": op10_setsketch,

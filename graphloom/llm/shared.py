@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows in a batch that goes to Python at most: whole texts are long rows.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
