@@ -142,7 +142,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = lists.flatten()
         start, end = x.field("start").to_numpy(), x.field("end").to_numpy()
         at = np.concatenate(([0], np.cumsum(np.where(lists.is_valid().to_numpy(zero_copy_only=False), counts, 0))))
-        size, gone, many, digest, kept = [], [], [], [], []
+        size, gone, many, digest = [], [], [], []
         for i, text in enumerate(texts):
             raw = (text or "").encode()
             s, e = W.merged(start[at[i] : at[i + 1]], np.minimum(end[at[i] : at[i + 1]], len(raw)))
@@ -151,7 +151,6 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size.append(len(raw))
             gone.append(len(raw) - len(rest))
             many.append(len(s))
-            kept.append(rest)
             digest.append(hashlib.sha256(rest).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
