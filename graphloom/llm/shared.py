@@ -184,7 +184,7 @@ def _word_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 
 #: Bytes whose words are hashed at once; longer batches are cut at a space.
-PIECE = 4 << 20
+PIECE = 1 << 19
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
