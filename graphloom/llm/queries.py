@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, packing, setsketch, shared, substring, suffix_dedup
+from graphloom.llm import decontam, langid, packing, setsketch, shared, substring, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents"), length=20)
 
 
+def op6_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=400)
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_automata": op5_suffix_automata,
+    "op6_piece_unigrams": op6_piece_unigrams,
     "op9_suffix_radix": op9_suffix_radix,
     "op10_setsketch": op10_setsketch,
 }
