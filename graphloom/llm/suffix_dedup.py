@@ -111,7 +111,7 @@ def _spans(ids: np.ndarray, lo: np.ndarray, row: np.ndarray, place: np.ndarray,
 
 def _sort_groups(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in S.whole_groups(batches, "v", 2 << 20):
+        for table in S.whole_groups(batches, "v", 1 << 20):
             row, place = repeated(table, length)
             yield _spans(table.column("doc_id").to_numpy(), table.column("lo").to_numpy(), row, place, length)
 
@@ -121,8 +121,8 @@ def _sort_groups(length: int):
 def _each_window(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 row, place, digits = _digits(part, length)
                 every = np.arange(len(row))
                 one, two = part.column("v").to_numpy().view(U64)[row], np.zeros(len(row), U64)

@@ -19,9 +19,9 @@ from graphloom.llm import shared as S
 
 U64 = S.U64
 #: Window starts in a run at most, so that a row's context is bounded.
-LONGEST_RUN = 4096
-#: Different contexts of one key that one task takes; beyond, windows are dealt out one by one.
-HOT = 4096
+LONGEST_RUN = 512
+#: Windows in the different contexts of one key that one task takes; beyond, windows are dealt out one by one.
+HOT = 300_000
 
 
 def sliding(x: np.ndarray, w: int, best: np.ufunc, pad: int) -> np.ndarray:
@@ -110,18 +110,18 @@ def candidates(texts: DataFrame, parts: Symbols, length: int, k: int, first_stay
     ``whole``: every window of the run repeats, since the whole context stands
     elsewhere too (``first_stays``: earlier). ``work``: windows have to be compared with
     the other contexts of the key; of equal contexts only the first works. ``hot``: the
-    key has more than HOT different contexts.
+    key's different contexts have more than HOT windows.
     """
     seen = texts.mapInArrow(_scan(parts, length, k, True), "v long").groupBy("v").agg(F.count("*").alias("n"))
     rows = texts.mapInArrow(_scan(parts, length, k, False), RUN_ROW)
     known = rows.join(seen, "v").where("n > 1 or multi").drop("n")
     known = S.cut(known)
-    classes = known.groupBy("v", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("multi").alias("inner"))
-    keys = classes.groupBy("v").agg(F.count("*").alias("m"))
+    classes = known.groupBy("v", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("multi").alias("inner"), F.max(F.col("hi") - F.col("lo") + 1).alias("size"))
+    keys = classes.groupBy("v").agg(F.count("*").alias("m"), F.sum("size").alias("windows"))
     classes = classes.join(keys, "v")
     is_first = F.struct("doc_id", "lo") == F.col("first")
     whole = ~is_first if first_stays else F.col("n") > 1
-    out = known.drop("multi").join(classes, ["v", "c"]).select("doc_id", "lo", "hi", "v", whole.alias("whole"), (is_first & ((F.col("m") > 1) | F.col("inner"))).alias("work"), (F.col("m") > HOT).alias("hot"))
+    out = known.drop("multi").join(classes, ["v", "c"]).select("doc_id", "lo", "hi", "v", whole.alias("whole"), (is_first & ((F.col("m") > 1) | F.col("inner"))).alias("work"), (F.col("windows") > HOT).alias("hot"))
     return S.cut(out.where("whole or work"))
 
 
