@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, langid, packing, setsketch, shared, substring, suffix_dedup
+from graphloom.llm import decontam, langid, packing, secrets, setsketch, shared, substring, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=400)
 
@@ -43,7 +47,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_automata": op5_suffix_automata,
     "op6_piece_unigrams": op6_piece_unigrams,
+    "op7_window_entropy": op7_window_entropy,
     "op9_suffix_radix": op9_suffix_radix,
     "op10_setsketch": op10_setsketch,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_window_entropy": secrets.oracle_sql(),
+}
