@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, langid, packing, secrets, setsketch, shared, substring, suffix_dedup
+from graphloom.llm import decontam, langid, packing, secrets, setsketch, shared, substring, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+ALLOW = (("org", "/"), ("com", "/fr/"))
+BLOCK = (("example.org", "/es/"), ("example.org", "/en/1"), ("com", "/de/"))
+
+
+def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), ALLOW, BLOCK)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
+    "op2_bloom_cascade": op2_bloom_cascade,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_automata": op5_suffix_automata,
     "op6_piece_unigrams": op6_piece_unigrams,
@@ -52,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_setsketch": op10_setsketch,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_bloom_cascade": url_filter.oracle_sql(ALLOW, BLOCK),
     "op7_window_entropy": secrets.oracle_sql(),
 }
