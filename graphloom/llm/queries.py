@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, langid, packing, secrets, setsketch, shared, substring, suffix_dedup, url_filter
+from graphloom.llm import decontam, embed_dedup, langid, packing, secrets, setsketch, shared, substring, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), ALLOW, BLOCK)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_tiling": op1_string_tiling,
     "op2_bloom_cascade": op2_bloom_cascade,
+    "op3_nn_descent": op3_nn_descent,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_automata": op5_suffix_automata,
     "op6_piece_unigrams": op6_piece_unigrams,
