@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, embed_dedup, langid, packing, secrets, setsketch, shared, substring, suffix_dedup, url_filter
+from graphloom.llm import decontam, embed_dedup, html_text, langid, packing, secrets, setsketch, shared, substring, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), length=400)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_automata": op5_suffix_automata,
     "op6_piece_unigrams": op6_piece_unigrams,
     "op7_window_entropy": op7_window_entropy,
+    "op8_layout_text": op8_layout_text,
     "op9_suffix_radix": op9_suffix_radix,
     "op10_setsketch": op10_setsketch,
 }
