@@ -29,9 +29,11 @@ ROUNDS, SMOOTH = 3, 0.05
 #: Probability of a character outside the vocabulary, in every language.
 UNKNOWN = 1e-7
 #: Words that the cache of a task holds.
-CACHE = 100_000
+CACHE = 250_000
 #: Longer words are scored with rescaling, one at a time.
 LONG = 40
+#: Bytes of text whose new words are scored together.
+SLICE = 1 << 20
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -48,33 +50,76 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 class Pieces:
     """The vocabulary with piece probabilities of some languages (rows: pieces, then
-    the unknown character, then no piece)."""
+    the unknown character). Spans of many words at once are looked up by a rolling
+    hash in an open-addressing table."""
+
+    BASE, SPREAD, SLOTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
 
     def __init__(self, pieces: dict[str, int], probability: np.ndarray) -> None:
         self.of = pieces
         self.longest = max(map(len, pieces), default=1)
-        n, many = len(pieces), probability.shape[1]
-        self.p = np.vstack([probability, np.full((1, many), UNKNOWN), np.zeros((1, many))])
-        self.unknown, self.none = n, n + 1
-
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, piece of each word) over all spans of words of equal length."""
-        n, of = len(words[0]), self.of.get
+        self.unknown = len(pieces)
+        self.p = np.vstack([probability, np.full((1, probability.shape[1]), UNKNOWN)])
+        mask = (1 << self.SLOTS) - 1
+        assert len(pieces) < mask // 2
+        self.keys, self.ids = np.zeros(mask + 1, np.uint64), np.full(mask + 1, -1, np.int32)
+        by_length = defaultdict(list)
+        for w in pieces:
+            by_length[len(w)].append(w)
+        for n, own in by_length.items():
+            codes, h = self._codes(own, n), np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = h * self.BASE + codes[:, k]
+            for w, key, at in zip(own, h.tolist(), self._slot(h).tolist(), strict=True):
+                while self.keys[at]:
+                    at = (at + 1) & mask
+                self.keys[at], self.ids[at] = key, pieces[w]
+
+    def _codes(self, words: list[str], n: int) -> np.ndarray:
+        return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * self.SPREAD >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        at = self._slot(h)
+        got, ids = self.keys[at], self.ids[at]
+        ids = np.where(got == h, ids, -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            got = self.keys[at[open_]]
+            right = got == h[open_]
+            ids[open_[right]] = self.ids[at[open_[right]]]
+            open_ = open_[~right & (got != 0)]
+        return ids
+
+    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, words with a piece there, the pieces) of words of equal length."""
+        n = len(words[0])
+        codes, h = self._codes(words, n), np.zeros((n, len(words)), np.uint64)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                missing = self.unknown if end == start + 1 else self.none
-                ids = np.array([of(w[start:end], missing) for w in words])
-                if end == start + 1 or (ids != missing).any():
-                    yield start, end, ids
-
-    def forward(self, words: list[str]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+            first = max(0, end - self.longest)
+            h[first:end] *= self.BASE
+            h[first:end] += codes[:, end - 1]
+            found = self._find(h[first:end].reshape(-1)).reshape(end - first, len(words))
+            last = found[-1]
+            last[last < 0] = self.unknown
+            at, own = np.nonzero(found >= 0)
+            bounds = np.searchsorted(at, np.arange(end - first + 1))
+            ids = found[at, own]
+            for k, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if y > x:
+                    yield first + k, end, own[x:y], ids[x:y]
+
+    def forward(self, words: list[str]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
         """Forward sums (position, word, language) of marked words of equal length."""
         n, many = len(words[0]), self.p.shape[1]
         a = np.zeros((n + 1, len(words), many))
         a[0] = 1
         spans = list(self.spans(words))
-        for start, end, ids in spans:
-            a[end] += a[start] * self.p[ids]
+        for start, end, own, ids in spans:
+            a[end][own] += a[start][own] * self.p[ids]
         return a, spans
 
     def one(self, word: str) -> np.ndarray:
@@ -84,8 +129,8 @@ class Pieces:
         for end in range(1, len(word) + 1):
             now = np.zeros(self.p.shape[1])
             for back in range(1, min(keep, end) + 1):
-                i = of(word[end - back : end], self.unknown if back == 1 else self.none)
-                if i != self.none:
+                i = of(word[end - back : end], self.unknown if back == 1 else -1)
+                if i >= 0:
                     now += a[-back] * self.p[i]
             a.append(now)
             del a[:-keep]
@@ -119,21 +164,22 @@ def fit_language(counts: Counter, pieces: dict[str, int]) -> np.ndarray:
     for w in counts:
         if len(w) <= LONG:
             groups[len(w)].append(w)
+    model = Pieces(pieces, p[:, None])
     for _ in range(ROUNDS):
-        model = Pieces(pieces, p[:, None])
-        expected = np.zeros(len(pieces) + 2)
+        model.p[:-1, 0] = p
+        expected = np.zeros(len(pieces) + 1)
         for own in groups.values():
             for k in range(0, len(own), 2048):
-                some = own[k : k + 2048]
-                a, spans = model.forward([MARK + w for w in some])
+                batch = own[k : k + 2048]
+                a, spans = model.forward([MARK + w for w in batch])
                 b = np.zeros_like(a)
                 b[-1] = 1
-                weight = np.array([counts[w] for w in some], float)[:, None] / a[-1]
-                for start, end, ids in reversed(spans):
-                    through = model.p[ids] * b[end]
-                    b[start] += through
-                    np.add.at(expected, ids, (a[start] * through * weight)[:, 0])
-        p = expected[:-2] + SMOOTH
+                weight = np.array([counts[w] for w in batch], float)[:, None] / a[-1]
+                for start, end, some, ids in reversed(spans):
+                    through = model.p[ids] * b[end][some]
+                    b[start][some] += through
+                    expected += np.bincount(ids, (a[start][some] * through * weight[some])[:, 0], len(expected))
+        p = expected[:-1] + SMOOTH
         p /= p.sum()
     return p
 
@@ -199,6 +245,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary_path: str | None = Non
     rows = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(F.col("doc_id").alias("_id")).distinct()
+    chosen = F.broadcast(chosen)  # at most ``sample`` ids of each language
     texts = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
     words = texts.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = defaultdict(Counter)
@@ -215,7 +262,7 @@ def _predict(sent):
         scorer = sent.value.scorer()
         for batch in batches:
             _, offsets = S.text_bytes(batch.column("text"))
-            for i, j in S.slices_of(offsets):
+            for i, j in S.slices_of(offsets, SLICE):
                 part = batch.slice(i, j - i)
                 langs, scores = scorer.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -251,7 +298,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -
         scorer = sent.value.scorer()
         for batch in batches:
             _, offsets = S.text_bytes(batch.column("text").cast(pa.string()))
-            for i, j in S.slices_of(offsets):
+            for i, j in S.slices_of(offsets, SLICE):
                 part = batch.slice(i, j - i)
                 langs, scores = scorer.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_score"])
