@@ -1,10 +1,8 @@
-"""The registered queries of the code-graph operators and their SQL oracles."""
+"""All registered queries of the code-graph operators and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from graphloom.plans import scalars  # noqa: F401
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
