@@ -49,33 +49,37 @@ def one_protocol(class_of: Callable[[Column], Column]) -> Column:
     return (F.size(options()) > 0) & (F.size(F.array_distinct(owners)) == 1) & F.get(owners, F.lit(0)).isNotNull()
 
 
+#: Reasons that decide a site, and which targets they give.
+DECIDED = {"library_runs": "options", "receiver_proven": "flow_candidates", "receiver_types": "strong", "receiver_contexts": "options", "unique_flow": "strong", "one_candidate": "options", "one_protocol": "options"}
+
+
 def decide(sites: DataFrame, class_of: Callable[[Column], Column]) -> DataFrame:
     """One decision per site: site_id, status (decided, unknown), targets, reason."""
-    opts, dispatch, unique = options(), dispatch_by_receiver(), unique_flow_target()
-    only = F.get(opts, F.lit(0))
-    some = F.size(opts) > 0
-    library = some & (F.col("category") == "callback") & F.col("library_runs").isNotNull()
-    weak = F.arrays_overlap(opts, F.col("field_only"))
-    none = F.expr("cast(array() as array<string>)")
-
-    def answer(targets: Column | None, reason: str) -> Column:
-        status = "unknown" if targets is None else "decided"
-        return F.struct(F.lit(status).alias("status"), (none if targets is None else targets).alias("targets"), F.lit(reason).alias("reason"))
-
-    decision = (
-        F.when(library & F.col("library_runs"), answer(opts, "library_runs"))
-        .when(library, answer(None, "library_unknown"))
-        .when(dispatch.isNotNull(), F.when(F.col("receiver_exact"), answer(dispatch, "receiver_proven")).otherwise(answer(dispatch, "receiver_types")))
-        .when(receiver_exact(), answer(opts, "receiver_contexts"))
-        .when(unique.isNotNull(), answer(F.array(unique), "unique_flow"))
-        .when((F.col("category") == "dispatch") & F.col("declared_target").isNull() & F.col("declared_library").isNotNull() & some, answer(None, "library_dispatch"))
-        .when((F.size(opts) == 1) & F.array_contains("field_only", only), answer(None, "field_name_only"))
-        .when(F.size(opts) == 1, answer(opts, "one_candidate"))
-        .when(~some & (F.size("candidates") > 0), answer(None, "test_only"))
-        .when((F.size(opts) > 1) & (F.col("category") == "implicit") & one_protocol(class_of) & ~weak, answer(opts, "one_protocol"))
-        .otherwise(answer(None, "not_unique"))
+    s = sites.withColumn("options", options())
+    s = s.withColumns({"strong": F.array_except(F.array_intersect("options", "flow_candidates"), F.col("field_only")), "owners": F.array_distinct(F.transform("options", class_of))})
+    n, strong_n = F.size("options"), F.size("strong")
+    dispatch = F.col("category") == "dispatch"
+    only = F.get("options", F.lit(0))
+    library = (n > 0) & (F.col("category") == "callback") & F.col("library_runs").isNotNull()
+    proven = F.col("receiver_exact") & (F.size("flow_candidates") == 1) & F.array_contains("options", F.get("flow_candidates", F.lit(0)))
+    reason = (
+        F.when(library, F.when(F.col("library_runs"), "library_runs").otherwise("library_unknown"))
+        .when(dispatch & proven, "receiver_proven")
+        .when(dispatch & ~F.col("receiver_exact") & ~F.col("truncated") & (strong_n > 0), "receiver_types")
+        .when(~dispatch & F.col("receiver_exact") & (F.size("field_only") == 0) & (n > 0), "receiver_contexts")
+        .when((F.col("category") == "no_target") & (n >= 2) & ~F.col("truncated") & (strong_n == 1), "unique_flow")
+        .when(dispatch & F.col("declared_target").isNull() & F.col("declared_library").isNotNull() & (n > 0), "library_dispatch")
+        .when((n == 1) & F.array_contains("field_only", only), "field_name_only")
+        .when(n == 1, "one_candidate")
+        .when((n == 0) & (F.size("candidates") > 0), "test_only")
+        .when((n > 1) & (F.col("category") == "implicit") & (F.size("owners") == 1) & F.get("owners", F.lit(0)).isNotNull() & ~F.arrays_overlap("options", "field_only"), "one_protocol")
+        .otherwise("not_unique")
     )
-    return sites.select("site_id", decision.alias("d")).select("site_id", "d.status", "d.targets", "d.reason")
+    s = s.select("site_id", "options", "strong", "flow_candidates", reason.alias("reason"))
+    targets = F.expr("cast(array() as array<string>)")
+    for column in ("options", "strong", "flow_candidates"):
+        targets = F.when(F.col("reason").isin([r for r, c in DECIDED.items() if c == column]), F.col(column)).otherwise(targets)
+    return s.select("site_id", F.when(F.col("reason").isin(list(DECIDED)), "decided").otherwise("unknown").alias("status"), targets.alias("targets"), "reason")
 
 
 def finish_candidates(ids: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import decide as D
 from graphloom.operators import graph as G
+from graphloom.operators.lineage import cut
 from graphloom.plans import adapters as A
 from graphloom.plans.registry import query
 
@@ -133,7 +134,7 @@ d AS (SELECT *, CASE
   WHEN len(o) = 1 AND list_contains(field_only, o[1]) THEN 'field_name_only' WHEN len(o) = 1 THEN 'one_candidate'
   WHEN len(o) = 0 AND len(candidates) > 0 THEN 'test_only'
   WHEN len(o) > 1 AND category = 'implicit' AND len(cl) = 1 AND NOT list_has_any(o, field_only) THEN 'one_protocol' ELSE 'not_unique' END AS reason FROM s2),
-decisions AS (SELECT *, CASE WHEN reason IN ('library_runs', 'receiver_proven', 'receiver_types', 'receiver_contexts', 'unique_flow', 'one_candidate', 'one_protocol') THEN 'decided' ELSE 'unknown' END AS status,
+decisions AS MATERIALIZED (SELECT *, CASE WHEN reason IN ('library_runs', 'receiver_proven', 'receiver_types', 'receiver_contexts', 'unique_flow', 'one_candidate', 'one_protocol') THEN 'decided' ELSE 'unknown' END AS status,
   CASE WHEN reason IN ('library_runs', 'receiver_contexts', 'one_candidate', 'one_protocol') THEN o WHEN reason = 'receiver_proven' THEN flow_candidates WHEN reason IN ('receiver_types', 'unique_flow') THEN st ELSE [] END AS targets FROM d)"""
 
 
@@ -142,8 +143,9 @@ def _class_of(c):
 
 
 def _decided(t):
-    sites = A.sites(t)
-    return sites, D.decide(sites, _class_of)
+    """Sites and their decisions, as the stored tables they are."""
+    sites = cut(A.sites(t))
+    return sites, cut(D.decide(sites, _class_of))
 
 
 @query("O15_decide", f"WITH {DECIDED} SELECT site_id, status, array_to_string(list_sort(targets), ',') AS targets, reason FROM decisions")
@@ -159,23 +161,23 @@ def _o16(t):
 
 @query("O17_dispatch_by_receiver", f"WITH {DECIDED} SELECT site_id, array_to_string(list_sort(targets), ',') AS targets FROM decisions WHERE reason IN ('receiver_proven', 'receiver_types')")
 def _o17(t):
-    found = A.sites(t).select("site_id", D.dispatch_by_receiver().alias("targets")).where("targets is not null")
+    found = cut(A.sites(t)).select("site_id", D.dispatch_by_receiver().alias("targets")).where("targets is not null")
     return found.select("site_id", F.array_join(F.array_sort("targets"), ",").alias("targets"))
 
 
 @query("O18_receiver_exact", f"WITH {A.SITES_SQL} SELECT site_id, category <> 'dispatch' AND receiver_exact AND len(field_only) = 0 AND len({OPTS}) > 0 AS exact FROM sites")
 def _o18(t):
-    return A.sites(t).select("site_id", D.receiver_exact().alias("exact"))
+    return cut(A.sites(t)).select("site_id", D.receiver_exact().alias("exact"))
 
 
 @query("O19_one_protocol", f"WITH {A.SITES_SQL} SELECT site_id, len(list_distinct(list_transform({OPTS}, lambda c: {_class}))) = 1 AS one FROM sites")
 def _o19(t):
-    return A.sites(t).select("site_id", D.one_protocol(_class_of).alias("one"))
+    return cut(A.sites(t)).select("site_id", D.one_protocol(_class_of).alias("one"))
 
 
 @query("G11_unique_flow_target", f"WITH {A.SITES_SQL}, s1 AS (SELECT *, {OPTS} AS o FROM sites) SELECT site_id, ({_strong})[1] AS target FROM s1 WHERE category = 'no_target' AND len(o) >= 2 AND NOT truncated AND len({_strong}) = 1")
 def _g11(t):
-    return A.sites(t).select("site_id", D.unique_flow_target().alias("target")).where("target is not null")
+    return cut(A.sites(t)).select("site_id", D.unique_flow_target().alias("target")).where("target is not null")
 
 
 @query("D4_proven_by_receiver_rule", f"WITH {DECIDED} SELECT site_id FROM decisions WHERE category = 'dispatch' AND receiver_exact AND via IS NULL AND status = 'decided' AND len(flow_candidates) = 1 AND targets = flow_candidates AND list_contains(candidates, flow_candidates[1])")
@@ -234,6 +236,8 @@ def _i7(t):
 
 
 @query("I3_undecided_between", f"""WITH RECURSIVE {A.EDGES_SQL}, {A.view_sql(1)}, {A.SITES_SQL}, a(uid, d) AS (SELECT * FROM (VALUES ('order:2', 0)) UNION SELECT to_uid, d + 1 FROM a JOIN view ON from_uid = uid WHERE d < 3)
-SELECT DISTINCT site_id FROM sites, (SELECT unnest(['part:1']) AS p) WHERE owner_uid IN (SELECT uid FROM a) AND list_contains({OPTS}, 'part:1')""")
+SELECT DISTINCT site_id FROM sites WHERE owner_uid IN (SELECT uid FROM a) AND list_contains({OPTS}, (SELECT candidates[1] FROM sites WHERE owner_uid = 'order:2'))""")
 def _i3(t):
-    return G.undecided_between(A.edges(t), A.sites(t), "order:2", "part:1", max_depth=3)
+    sites = cut(A.sites(t))
+    target = sites.where("owner_uid = 'order:2'").first()["candidates"][0]
+    return G.undecided_between(A.edges(t), sites, "order:2", target, max_depth=3)
