@@ -42,6 +42,8 @@ ENDS = {
     "h1": ({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCK),
     "body": ({"head"}, set()),
 }
+#: Where text can't stand.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr colgroup".split())
 #: Open elements nested deeper than this stay on one level.
 DEPTH = 300
 #: Columns are padded up to this width; longer cells stick out.
@@ -89,12 +91,22 @@ def parse(source: str) -> Node:
         if tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
 
+    def text_(text: str) -> None:
+        if stack[-1].tag in TABLE_PARTS and not text.isspace():  # shown before the table
+            i = max(n for n, node in enumerate(stack) if node.tag in ("table", "#root"))
+            if stack[i].tag == "table":
+                parent = stack[i - 1].children
+                at = len(parent) - 1 - next((k for k, c in enumerate(reversed(parent)) if c is stack[i]), -1)
+                parent.insert(at, text)
+                return
+        stack[-1].children.append(text)
+
     at = 0
     while True:
         m = _TOKEN.search(source, at)
         end = m.start() if m else len(source)
         if end > at:
-            stack[-1].children.append(html.unescape(source[at:end]) if "&" in source[at:end] else source[at:end])
+            text_(html.unescape(source[at:end]) if "&" in source[at:end] else source[at:end])
         if not m:
             return root
         at = m.end()
@@ -189,7 +201,7 @@ def _render(node: Node, out: _Lines, shown: bool, pre: bool, depth: int) -> None
     only_summary = node.tag == "details" and node.get("open") is None
     for child in node.children:
         if isinstance(child, str):
-            if shown and not only_summary and (pre or node.tag not in ("table", "tbody", "tr", "ul", "ol")):
+            if shown and not only_summary and (pre or not child.isspace() or node.tag not in ("table", "tbody", "tr", "ul", "ol")):
                 out.add(child, pre)
             continue
         tag = child.tag

@@ -1,0 +1,261 @@
+"""Language ID, packing, decontamination, secrets, URLs, HTML and the pipeline."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from itertools import product
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from graphloom.llm import decontam, html_text, langid, packing, secrets, url_filter
+
+DATA = "/root/testdata/sf0.001"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+
+
+# language ID
+
+
+def test_forward_sums_all_segmentations():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "▁ab"])}
+    p = np.random.default_rng(1).random((len(pieces), 2))
+    model = langid.Pieces(pieces, p)
+
+    def brute(word, lang):
+        total = 0.0
+        for cuts in product([0, 1], repeat=len(word) - 1):
+            ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            q = 1.0
+            for part in parts:
+                q *= p[pieces[part], lang] if part in pieces else (langid.UNKNOWN if len(part) == 1 else 0.0)
+            total += q
+        return np.log(total)
+
+    words = ["ab", "aab", "bab", "c", "abcab", "a"]
+    got = model.log_scores(words)
+    for i, w in enumerate(words):
+        for lang in (0, 1):
+            assert got[i, lang] == pytest.approx(brute(langid.MARK + w, lang))
+            assert model.one(langid.MARK + w)[lang] == pytest.approx(got[i, lang])
+    assert np.isfinite(model.log_scores(["ab" * 3000])).all()
+
+
+def test_language_accuracy_and_odd_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(9001, None, "en"), (9002, "", None), (9003, "12 34 !", "de"), (None, "the", None)], "doc_id long, text string, lang string")
+    rows = langid.identify(docs.unionByName(odd, allowMissingColumns=True)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == docs.count() + 4
+    assert [got[i]["lang_pred"] for i in (9001, 9002, 9003)] == ["und"] * 3
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all(got[i]["held_out"] for i in held)
+    assert np.mean([got[i]["lang_pred"] == truth[i] for i in held]) >= 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    nothing = langid.identify(docs.withColumn("lang", docs["lang"].substr(99, 1)).where("false"))
+    assert nothing.count() == 0
+
+
+# packing
+
+
+def test_encoder_is_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, theirs = packing.WordEncoder(path), Tokenizer.from_file(path)
+    r = random.Random(1)
+    pool = "aAbB éÉßœŒ'’“€…–İıſK0123²½\t\n\r\v\x1c\x85\xa0 'sLL't ABC don't, I'LL!!' _ ab<| è 日本 ΣΑΣ ﬁ ª º"
+    for _ in range(1500):
+        text = "".join(r.choice(pool) for _ in range(r.randint(0, 50)))
+        assert ours.encode(text) == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_plan_fills_sequences():
+    r = random.Random(2)
+    for _ in range(30):
+        counts = {n: r.randint(1, 50) for n in r.sample(range(1, 65), r.randint(1, 30))}
+        rows, many = packing.plan(counts, 64)
+        used = {}
+        for n, first, end, m, seq, at in rows:
+            for rank in range(first, end):
+                i = rank - first
+                used.setdefault(seq + i // m, []).append((at + i % m * n, n))
+        assert sum(map(len, used.values())) == sum(counts.values()) and len(used) == many
+        for slots in used.values():
+            at = 0
+            for start, n in sorted(slots):
+                assert start == at
+                at += n
+            assert at <= 64
+        bins = []  # best-fit decreasing, one piece at a time
+        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            fits = [b for b in bins if b >= n]
+            if fits:
+                bins.remove(min(fits))
+            bins.append((min(fits) if fits else 64) - n)
+        assert many == len(bins)
+
+
+def test_pack(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 7)
+    texts = ["word " * n for n in (1, 5, 30, 100, 31, 32)] + [None, "", "a b"] * 10
+    docs = docs_of(spark, texts)
+    rows = packing.pack(docs, capacity=32).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [r["length"] for r in own] == [len(ids[a : a + 32]) for a in range(0, len(ids), 32)]
+        assert [r["start"] for r in own] == list(range(0, len(ids), 32))
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(ids[a : a + 32].tobytes()) for a in range(0, len(ids), 32)]
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 32
+    assert packing.pack(docs.where("false")).count() == 0
+
+
+# decontamination
+
+
+def test_tiles_cover_reordered_text():
+    x = np.arange(40, dtype=np.uint64)
+    assert sorted(decontam.tile(x, np.concatenate([x[20:], x[:20]]))) == [(0, 20, 20), (20, 0, 20)]
+    assert decontam.tile(x, x[::-1].copy()) == []
+    assert sum(n for *_, n in decontam.tile(x, np.concatenate([x[:7], x[9:40]]))) == 38
+    same = np.zeros(12, np.uint64)
+    assert sum(n for *_, n in decontam.tile(same, same[:9].copy())) == 9
+
+
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_decontaminate(spark, small):
+    item = " ".join(f"q{i}" for i in range(30))
+    words = item.split()
+    texts = [f"Start. {item.upper()}, end", " ".join(words[15:] + ["x"] + words[:15]), " ".join(words[:10]), "clean text " * 20, None, "", " ".join(words[::-1])]
+    bench = spark.createDataFrame([(7, item, 1), (8, "too short", 1), (9, None, 1), (None, item, 1)], "item_id long, text string, doc_id int")
+    got = {r["doc_id"]: r for r in decontam.decontaminate(docs_of(spark, texts), bench, small=small).collect()}
+    assert [got[i]["contaminated"] for i in range(7)] == [True, True, False, False, False, False, False]
+    assert got[0]["item_id"] == 7 and got[0]["coverage"] == 1.0 and got[1]["coverage"] == 1.0 and got[3]["coverage"] == 0.0
+    assert decontam.decontaminate(docs_of(spark, texts).where("false"), bench, small=small).count() == 0
+    assert decontam.drop_contaminated(docs_of(spark, texts), bench).count() == 5
+
+
+# secrets
+
+
+def test_base_secrets_match_python(spark):
+    kinds = [
+        (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[1]) >= 6),
+        (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    r = random.Random(3)
+    pool = ["token", "Secret", "=", ":", " ", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0a" * 12, "abc", "é", "日", "api_key", "password: ", "x1.y2/z3", "\n"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 25))) for _ in range(400)] + [None, ""]
+    got = {row["doc_id"]: row for row in secrets.scan(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in p.finditer(t or "") if ok(m))
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        spans = [s for s in got[i]["spans"].split(",") if s and not s.startswith("entropy")]
+        assert ",".join(spans) == text
+
+
+def test_entropy_and_allow_list(spark):
+    key = "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"
+    texts = [f"see {key} here", "zzzzzzzzzzzzzzzzzzzzzzzzzA1", "550e8400-e29b-41d4-a716-446655440000", f"{key}EXAMPLE", "unterschiedlichkeitsbetrachtungen", f"token={key}"]
+    got = [r["spans"] for r in secrets.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [f"entropy:4:{4 + len(key)}", "", "", "", "", f"assign:0:{6 + len(key)}"]
+    assert secrets.scan(docs_of(spark, texts), allow=(key,)).where("spans <> ''").count() == 1
+    out = [r["text"] for r in secrets.redact(docs_of(spark, [*texts, None])).orderBy("doc_id").collect()]
+    assert out[0] == "see [secret] here" and out[5] == "[secret]" and out[6] is None and out[1] == texts[1]
+
+
+# URLs
+
+
+def test_url_rules(spark, monkeypatch):
+    allow, block = [("org", "/"), ("com", "/fr/")], [("example.org", "/es/"), ("com", "/de/"), ("com", "/fr/")]
+    urls = [None, "no", "HTTP://A.ORG", "http://a.ORG/x?y", "://", "x://com/de/", "x://com/de/", "http://org?a/b", "a://b://c.org/d", "http://www.Example.org/es/1", "http://notexample.org/es/", "http://com/fr/1", "http://x..org/", "http:///es/"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
+
+    def brute(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, rules in (("allow", allow), ("block", block)) for h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    for limit in (2_000_000, 1):
+        monkeypatch.setattr(url_filter, "LIST", limit)
+        got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, allow, block).collect()}
+        assert got == {i: brute(u) for i, u in enumerate(urls)}
+    assert url_filter.judge(pages.where("false"), allow, block).count() == 0
+    assert url_filter.judge(pages, [], []).where("verdict = 'allow' and rule is null").count() == len(urls)
+
+
+def test_cascade_is_exact(spark):
+    keys = [f"k{i}" for i in range(20_000)]
+    table = lambda ks: url_filter._hashes(spark.createDataFrame([(k,) for k in ks], "key string"))
+    cascade = url_filter.build(table(keys[:300]), table(keys))
+    assert (cascade.has(*url_filter._arrays(table(keys))) == (np.arange(20_000) < 300)).all()
+    assert sum(len(level.bits) for level in cascade.levels) < 1500
+    assert not url_filter.build(table(keys).where("false"), table(keys)).levels
+
+
+# HTML
+
+
+def test_html_layout():
+    page = """<title>no</title><h1>Head &amp; top</h1>one <b>two</b>
+three<p>para<p>next<br>line<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul><div hidden>no</div><span style="display: none">no</span>
+<div style="visibility:hidden">no<i style="visibility:visible">yes</i></div><table><caption>Cap</caption><tr><th>Name<th>Qty<tr><td>Apple pie<td>3<tr><td colspan=2>All of it</table><pre>  x
+    y</pre>a<5<script>no</script><!-- no --></p>end"""
+    want = "Head & top\n\none two three\n\npara\n\nnext\nline\n\n- a\n- b\n  3. x\n  4. y\n- c\n\nyes\n\nCap\nName       Qty\nApple pie  3\nAll of it\n\n  x\n    y\n\na<5\n\nend"
+    assert html_text.to_text(page) == want
+
+
+def test_html_never_raises_and_keeps_words(spark):
+    r = random.Random(0)
+    parts = ["<", ">", "</", "p", "table", "<tr>", "<td>", '"', "'", "=", " ", "<li>", "</div>", "<div>", "<table>", "</table>", "&amp;", "word", "<!--", "-->", "<script>", "<ul>", "<p>"]
+    for _ in range(500):
+        html_text.to_text("".join(r.choice(parts) for _ in range(40)))
+    assert "x" in html_text.to_text("<div>" * 20_000 + "x")
+    nested = "".join(f"<{t}>w{i}" for i, t in enumerate(["p", "div", "table", "tr", "td", "ul", "li", "b", "dl", "dt", "dd"] * 5))
+    assert sorted(re.findall(r"w\d+", html_text.to_text(nested))) == sorted(f"w{i}" for i in range(55))
+    assert html_text.to_text("<table>out<tr>side<td>in</table>") == "outside\n\nin"
+    pages = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "<p>a", 0), (3, "<p>a", 0)], "page_id long, html string, n_chars int")
+    assert sorted(tuple(x) for x in html_text.extract(pages).collect()) == [(1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = corpus_pipeline.shared.cut(stage(spark, left, DATA))
+        assert left.columns == columns, name
+        assert 0.7 * n <= left.count() <= n
+    assert left.where("text rlike '[0-9a-f]{24,}'").count() == 0
+    packed = corpus_pipeline.run(spark, DATA)
+    assert packed.select("doc_id").distinct().count() == left.count()
