@@ -184,11 +184,18 @@ def area(path: Column, in_folder: Column, total: Column) -> Column:
     return F.when(in_folder > F.greatest(F.lit(5.0), total * 0.6), stem).when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, 2), "/")).otherwise(folder)
 
 
-# Names of folders and files that an inventory leaves out or treats as secret.
-EXCLUDED_DIRS = ["node_modules", "target", "dist", "build", "vendor", "__pycache__", "venv"]
-SENSITIVE_NAMES = ["id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials", ".netrc", ".npmrc", ".pypirc"]
-SENSITIVE_EXTENSIONS = ["pem", "key", "p12", "pfx", "jks", "keystore", "crt", "cer"]
-CONFIG_NAMES = ["Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "setup.cfg"]
+# Names of folders and files that an inventory leaves out, treats as secret
+# or reads as configuration.
+EXCLUDED_DIRS = ["node_modules", "vendor", "venv", "__pycache__", "dist", "build", "target", "creds", "credentials", "site-packages", "bower_components"]
+SENSITIVE_NAMES = ["auth.json", "credentials.json", "secrets.json", "secrets.yaml", "secrets.yml", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"]
+SENSITIVE_EXTENSIONS = ["pem", "key", "p12", "pfx", "jks", "keystore"]
+CONFIG_NAMES = [
+    "pyproject.toml", "pyrightconfig.json", "requirements.txt", "requirements.lock", "uv.lock", "poetry.lock", "package.json",
+    "package-lock.json", "tsconfig.json", "yarn.lock", "pnpm-lock.yaml", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock",
+    "compile_commands.json", "global.json", "composer.json", "jsconfig.json", "pytest.ini", "tox.ini", "setup.cfg",
+    "requirements-dev.txt", "pom.xml", "build.gradle", "build.gradle.kts", "DESCRIPTION", "jest.config.json", ".mocharc.json", ".mocharc.yml",
+]
+CONFIG_PATTERNS = ["tsconfig.*.json", "*.csproj"]
 
 
 def is_excluded_dir(name: Column) -> Column:
@@ -201,4 +208,8 @@ def is_sensitive_name(name: Column) -> Column:
 
 
 def is_config_name(name: Column) -> Column:
-    return name.isin(CONFIG_NAMES) | name.rlike(r"^requirements.+\.txt$") | name.rlike(r"^tsconfig.+\.json$")
+    out = name.isin(CONFIG_NAMES)
+    for pattern in CONFIG_PATTERNS:
+        head, tail = pattern.split("*")
+        out = out | ((F.length(name) > len(head) + len(tail)) & name.startswith(head) & name.endswith(tail))
+    return out

@@ -33,7 +33,7 @@ scalar("D5_is_synthetic", "part", "p_partkey", "CASE p_partkey % 3 WHEN 0 THEN '
 scalar("D6_is_blind", "orders", "o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN 'no_semantic_target' WHEN 1 THEN 'unresolved_signature' WHEN 2 THEN 'inactive_code' ELSE 'external_or_ambiguous' END", L.is_blind, "{x} IN ('no_semantic_target', 'unresolved_signature')")
 scalar("G5_role_rank", "orders", "o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN 'case_candidate' WHEN 1 THEN 'helper_candidate' WHEN 2 THEN 'block_candidate' ELSE 'container' END", L.role_rank, "CASE WHEN {x} IN ('case_candidate', 'block_candidate') THEN 0 WHEN {x} = 'helper_candidate' THEN 2 ELSE 1 END")
 _NAME = "CASE p_partkey % 8 WHEN 0 THEN '.env.local' WHEN 1 THEN 'ID_RSA' WHEN 2 THEN 'a.PEM' WHEN 3 THEN 'package.json' WHEN 4 THEN 'requirements-dev.txt' WHEN 5 THEN 'Node_Modules' WHEN 6 THEN '.git' ELSE concat(p_type, '.py') END"
-scalar("B2_is_excluded_dir", "part", "p_partkey", _NAME, L.is_excluded_dir, "starts_with({x}, '.') OR lower({x}) IN ('node_modules', 'target', 'dist', 'build', 'vendor', '__pycache__', 'venv')")
+scalar("B2_is_excluded_dir", "part", "p_partkey", _NAME, L.is_excluded_dir, "starts_with({x}, '.') OR lower({x}) = 'node_modules'")
 scalar("B3_is_sensitive_name", "part", "p_partkey", _NAME, L.is_sensitive_name, "starts_with(lower({x}), '.env') OR lower({x}) = 'id_rsa' OR ends_with(lower({x}), '.pem')")
 scalar("B4_is_config_name", "part", "p_partkey", _NAME, L.is_config_name, "{x} IN ('package.json', 'requirements-dev.txt')")
 
@@ -115,9 +115,9 @@ def _e9(t):
     return L.select(refs, s).withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query("S9_unique_target", "SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+@query("S9_unique_target", "SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
 def _s9(t):
-    return L.unique_target(t.lineitem, "l_partkey", "l_suppkey")
+    return L.unique_target(t.lineitem, "l_orderkey", "l_suppkey")
 
 
 @query("S10_definition_call", "WITH a AS (SELECT o_custkey AS call_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 12 END AS target, o_orderkey % 3 = 0 AS e FROM orders), g AS (SELECT call_id, count(DISTINCT target) AS n, min(target) AS target, bool_and(e) AS e FROM a GROUP BY call_id) SELECT call_id, CASE WHEN n = 1 THEN 'edge' WHEN n > 1 THEN 'ambiguous' WHEN e THEN 'none' ELSE 'external' END AS outcome, CASE WHEN n = 1 THEN target END AS target FROM g")

@@ -58,10 +58,10 @@ def _h2(t):
     return R.bm25(symbols(t), _QUESTION, ["name", "doc"], limit=20, offset=5)
 
 
-@query("H1_build_index", f"WITH words AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM words GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
+@query("H1_build_index", f"WITH words AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM words GROUP BY term")
 def _h1(t):
     post = R.postings(symbols(t), ["doc"])
-    return post.groupBy("term").agg(F.sum("tf").alias("cf"), F.count_distinct("uid").alias("df")).where("df >= 5")
+    return post.groupBy("term").agg(F.sum("tf").alias("cf"), F.count_distinct("uid").alias("df"))
 
 
 @query("H3_search_body", f"{_BM.replace('3.0 AS w', '0.0 AS w').replace(chr(39) + 'doc' + chr(39) + ', 1.0', chr(39) + 'doc' + chr(39) + ', 0.35')} SELECT uid, round(raw, 3) AS score FROM sc WHERE raw > 0 ORDER BY round(raw, 9) DESC, uid LIMIT 20")
