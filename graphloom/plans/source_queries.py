@@ -13,17 +13,17 @@ def _read(name: str, given: str, reader: str, shown, sql: str) -> None:
     @query(name, sql)
     def _build(t):
         rows = t.part.select("p_partkey", formats.parsed(F.expr(given), reader).alias("j"))
-        return rows.select("p_partkey", *shown)
+        return rows.select("p_partkey", *shown())
 
 
-_j = F.get_json_object
-_read("B17_strip_jsonc", """concat('{"a": ', p_size, ', // c', chr(10), '"b": [1, 2,], /* x */ }')""", "jsonc", [_j("j", "$.a").alias("a"), _j("j", "$.b[1]").alias("b")], "SELECT p_partkey, CAST(p_size AS VARCHAR) AS a, '2' AS b FROM part")
-_read("B18_toml_value", """concat('[package]', chr(10), 'name = "', p_type, '"', chr(10), 'size = ', p_size)""", "toml", [_j("j", "$.package.name").alias("name"), _j("j", "$.package.size").alias("size")], "SELECT p_partkey, p_type AS name, CAST(p_size AS VARCHAR) AS size FROM part")
-_read("B19_sections", """concat('[s]', chr(10), 'key = ', p_name, chr(10), '[t]', chr(10), 'x: ', p_size)""", "ini", [_j("j", "$.s.key").alias("key"), _j("j", "$.t.x").alias("x")], "SELECT p_partkey, p_name AS key, CAST(p_size AS VARCHAR) AS x FROM part")
-_read("B21_parse_yaml", """concat('a: ', p_size, chr(10), 'b:', chr(10), '  - ', p_type, chr(10), '  - k: true', chr(10))""", "yaml", [_j("j", "$.a").alias("a"), _j("j", "$.b[0]").alias("b"), _j("j", "$.b[1].k").alias("k")], "SELECT p_partkey, CAST(p_size AS VARCHAR) AS a, p_type AS b, 'true' AS k FROM part")
-_read("B22_parse_proto", """concat('package p; service ', p_type, ' { rpc Get', p_size, ' (Req) returns (Res); }')""", "proto", [_j("j", "$[0].service").alias("service"), _j("j", "$[0].rpc").alias("rpc")], "SELECT p_partkey, p_type AS service, 'Get' || p_size AS rpc FROM part")
-_read("B23_parse_graphql_schema", """concat('type Query { f', p_size, '(x: Int): Int g: Int } type Other { h: Int }')""", "graphql", [_j("j", "$[0].field").alias("field"), F.size(F.from_json("j", "array<string>")).alias("n")], "SELECT p_partkey, 'f' || p_size AS field, 2 AS n FROM part")
-_read("B24_openapi_operations", """concat('{"basePath": "/v1", "paths": {"/', lower(p_type), '/{id}": {"get": {"operationId": "op', p_size, '"}}}}')""", "openapi", [_j("j", "$[0].path").alias("path"), _j("j", "$[0].id").alias("id")], "SELECT p_partkey, '/v1/' || lower(p_type) || '/{id}' AS path, 'op' || p_size AS id FROM part")
+_j = F.get_json_object  # called when a query is built
+_read("B17_strip_jsonc", """concat('{"a": ', p_size, ', // c', chr(10), '"b": [1, 2,], /* x */ }')""", "jsonc", lambda: [_j("j", "$.a").alias("a"), _j("j", "$.b[1]").alias("b")], "SELECT p_partkey, CAST(p_size AS VARCHAR) AS a, '2' AS b FROM part")
+_read("B18_toml_value", """concat('[package]', chr(10), 'name = "', p_type, '"', chr(10), 'size = ', p_size)""", "toml", lambda: [_j("j", "$.package.name").alias("name"), _j("j", "$.package.size").alias("size")], "SELECT p_partkey, p_type AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+_read("B19_sections", """concat('[s]', chr(10), 'key = ', p_name, chr(10), '[t]', chr(10), 'x: ', p_size)""", "ini", lambda: [_j("j", "$.s.key").alias("key"), _j("j", "$.t.x").alias("x")], "SELECT p_partkey, p_name AS key, CAST(p_size AS VARCHAR) AS x FROM part")
+_read("B21_parse_yaml", """concat('a: ', p_size, chr(10), 'b:', chr(10), '  - ', p_type, chr(10), '  - k: true', chr(10))""", "yaml", lambda: [_j("j", "$.a").alias("a"), _j("j", "$.b[0]").alias("b"), _j("j", "$.b[1].k").alias("k")], "SELECT p_partkey, CAST(p_size AS VARCHAR) AS a, p_type AS b, 'true' AS k FROM part")
+_read("B22_parse_proto", """concat('package p; service ', p_type, ' { rpc Get', p_size, ' (Req) returns (Res); }')""", "proto", lambda: [_j("j", "$[0].service").alias("service"), _j("j", "$[0].rpc").alias("rpc")], "SELECT p_partkey, p_type AS service, 'Get' || p_size AS rpc FROM part")
+_read("B23_parse_graphql_schema", """concat('type Query { f', p_size, '(x: Int): Int g: Int } type Other { h: Int }')""", "graphql", lambda: [_j("j", "$[0].field").alias("field"), F.size(F.from_json("j", "array<string>")).alias("n")], "SELECT p_partkey, 'f' || p_size AS field, 2 AS n FROM part")
+_read("B24_openapi_operations", """concat('{"basePath": "/v1", "paths": {"/', lower(p_type), '/{id}": {"get": {"operationId": "op', p_size, '"}}}}')""", "openapi", lambda: [_j("j", "$[0].path").alias("path"), _j("j", "$[0].id").alias("id")], "SELECT p_partkey, '/v1/' || lower(p_type) || '/{id}' AS path, 'op' || p_size AS id FROM part")
 
 
 @query("B20_parse_xml", "SELECT p_partkey, p_type AS name, CAST(p_size AS VARCHAR) AS size FROM part")
