@@ -259,3 +259,26 @@ def test_pipeline_stages(spark):
     assert left.where("text rlike '[0-9a-f]{24,}'").count() == 0
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.select("doc_id").distinct().count() == left.count()
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    words = "the of and that with this from which would there their about other into more".split()
+    r = random.Random(5)
+    body = lambda: " ".join(r.choice(words) for _ in range(60))
+    same = body()
+    rows = [(i, body(), "en", None if i % 3 else "s", 9, 1, "x") for i in range(20)]
+    rows += [(50, same, "en", "s", None, None, None), (50, same, "en", "s", None, None, None), (51, same, "en", "s", 1, 1, "y"), (None, body(), None, None, None, None, None), (52, None, "en", "s", 0, 1, "z"), (53, "", "en", "s", 0, 1, "z"), (54, "1 2 3", "en", "s", 5, 1, "z"), (55, "the " * 40_000, "en", "s", 1, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, unit int, spans string")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.shared.cut(stage(spark, kept, DATA))
+        assert kept.columns == docs.columns, name
+    ids = [x["doc_id"] for x in kept.collect()]
+    assert set(range(20)) <= set(ids) and None in ids and 50 in ids and 55 in ids
+    assert not {51, 52, 53, 54} & set(ids)
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
+    assert packed.where("doc_id = 55").agg({"length": "sum"}).first()[0] == 40_001
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), DATA).count() == 0, name
