@@ -81,3 +81,18 @@ def test_streams(spark, tmp_path):
     assert sorted((r["n_events"], r["paths"]) for r in changes.debounce(frame).collect()) == [(1, ["a"]), (2, ["a", "b"])]
     stale = spark.createDataFrame([("z",), ("y",)], "path string")
     assert [r["path"] for r in changes.next_batch(stale.where("false"), stale, 1).collect()] == ["y"]
+
+
+def test_snapshots(spark, tmp_path):
+    from graphloom.sources import snapshots as N
+
+    root = str(tmp_path / "index")
+    table = lambda rows: spark.createDataFrame(rows, "path string, hash string")
+    N.save(table([("a", "1"), ("b", "1"), ("c", "1")]), root)
+    N.append(table([("b", "2"), ("d", "1")]), table([("a", "")]), root, "path")
+    N.append(table([("a", "3")]), table([("d", "")]), root, "path")
+    want = {("a", "3"), ("b", "2"), ("c", "1")}
+    assert {tuple(r) for r in N.load(spark, root, "path").collect()} == want
+    assert N.wants_compaction(spark, root)
+    N.compact(spark, root, "path")
+    assert {tuple(r) for r in N.load(spark, root, "path").collect()} == want and not N.wants_compaction(spark, root)
