@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators.lineage import cut
 
 # Page limits, field weights and BM25 constants.
 PAGE_BYTES, PREVIEW, PREVIEW_LEAD, PAGE_LIMIT = 48_000, 160, 30, 100
@@ -57,16 +58,17 @@ def bm25(symbols: DataFrame, question: str, fields: list[str], limit: int = 20,
     before paging; ``weights`` restricts the fields that score.
     """
     weights = weights or {f: FIELD_WEIGHT[f] for f in fields if f != "body"}
-    spark = symbols.sparkSession
-    n = max(1, symbols.count())
-    wanted = spark.range(1).select(F.explode(F.array_distinct(T.terms(F.lit(question)))).alias("term"))
-    post = postings(symbols, fields)
-    lengths = post.groupBy("uid", "field").agg(F.sum("tf").alias("len"))
-    average = lengths.groupBy("field").agg((F.sum("len") / n).alias("avg"))
-    hits = post.join(F.broadcast(wanted), "term")
+    wanted = symbols.sparkSession.range(1).select(F.array_distinct(T.terms(F.lit(question))).alias("t")).first()["t"]
+    texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields)))
+    split = symbols.select("uid", texts.alias("x")).select("uid", "x.field", T.terms(F.col("x.text")).alias("terms"))
+    # One pass over the texts: lengths of all fields, and the question's terms alone.
+    found = cut(split.select("uid", "field", F.size("terms").alias("len"), F.filter("terms", lambda w: w.isin(wanted)).alias("terms")))
+    n = max(1, found.count() // len(fields))
+    average = found.groupBy("field").agg((F.sum("len") / n).alias("avg"))
+    hits = found.where(F.size("terms") > 0).select("uid", "field", "len", F.explode("terms").alias("term")).groupBy("uid", "field", "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count_distinct("uid").alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    scored = hits.where(F.col("field").isin(list(weights))).join(F.broadcast(df), "term").join(lengths, ["uid", "field"]).join(F.broadcast(average), "field")
+    scored = hits.where(F.col("field").isin(list(weights))).join(F.broadcast(df), "term").join(F.broadcast(average), "field")
     part = table[F.col("field")] * F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
     factor = F.coalesce(F.col("factor"), F.lit(1.0)) if "factor" in symbols.columns else F.lit(1.0)
     total = scored.groupBy("uid").agg(F.sum(part).alias("raw")).join(symbols, "uid")
