@@ -9,7 +9,8 @@
    saturated and enlarged, up to ``LONGEST``.
 4. Recall is audited: links of a bounded query sample against all rows, by brute force
    in blocks, have to lie in the components found; below ``RECALL`` the graph is
-   refined further with longer lists.
+   refined further with longer lists. If the audit still fails, all vectors of a label
+   count as one coarse component, so that every pair is compared.
 5. Edges at the threshold are kept. Each coarse component (dealt into blocks where it is
    large, so no task holds an unbounded group) is compared exactly in double precision:
    this confirms links, drops none of them to a list's length, and counts them.
@@ -244,6 +245,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         if _audit(reps, coarse, threshold) >= RECALL:
             break
         k = min(2 * k, LONGEST)
+    else:
+        coarse = reps.select("id", F.col("space").alias("component"))
     sizes = coarse.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = coarse.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) as i, greatest(b, block) as j, if(b >= block, 0, 1) as side))")

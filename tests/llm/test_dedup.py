@@ -146,6 +146,20 @@ def test_embeddings(spark, monkeypatch, block):
     assert rows_of(embed_dedup.near_duplicates(df)) == want
 
 
+def test_saturated_groups_stay_together(spark, monkeypatch):
+    """Four tight sub-groups whose cross pairs link too: no list is long enough to leave its sub-group."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 256)
+    r = np.random.default_rng(3)
+    axes = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    noise = r.normal(size=(4, 300, 64))
+    x = (np.sqrt(0.948) * axes[0] + np.sqrt(0.052) * axes[1:5, None] + 0.078 * noise / np.linalg.norm(noise, axis=2)[:, :, None]).reshape(1200, 64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert links.min() > 1000
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(row) for row in embed_dedup.near_duplicates(df).collect()) == [(i, int(n), 0, i == 0) for i, n in enumerate(links)]
+
+
 def test_components(spark):
     r = random.Random(7)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(9, 9)]
