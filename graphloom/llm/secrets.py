@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions only.
 
 Three patterns give the base spans. On top, candidate strings (long runs of key
-characters that mix character classes) are scanned with a sliding window: an aggregate
+characters with a letter among them) are scanned with a sliding window: an aggregate
 walks the string with the count of each character in the window and the sum of
 c * log2(c), takes the leaving character out and the entering one in, and so has the
 Shannon entropy of every window by incremental counts. A candidate is reported from the
@@ -27,7 +27,7 @@ VALUE_LEAST = 6
 #: Candidate strings, the window, and the least entropy (bits) of a window by class.
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
-LEAST_BITS = {"hex": 3.0, "mixed": 3.8}
+LEAST_BITS = {"hex": 3.0, "mixed": 3.8, "lower": 3.7, "letters": 3.8}
 #: Candidates that are no secrets: UUIDs, integrity digests, marked examples.
 ALLOW_PATTERN = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^sha(1|256|384|512)-|(?i)example"
 KINDS = ("assign", "access", "hex", "entropy")
@@ -57,7 +57,8 @@ def _hull(text: str) -> str:
     """(first, last) start of a window of ``text`` at its class's entropy; first is -1 without one."""
     codes = f"transform(split({text}, ''), c -> ascii(c) - 42)"
     table = f"array({','.join(f'{x}L' for x in _F)})"
-    most = f"if({text} rlike '^[0-9a-fA-F]+$', {_most(LEAST_BITS['hex'])}L, {_most(LEAST_BITS['mixed'])}L)"
+    most = f"""case when not {text} rlike '[0-9]' then {_most(LEAST_BITS['letters'])}L when {text} rlike '^[0-9a-fA-F]+$' then {_most(LEAST_BITS['hex'])}L
+      when {text} rlike '[A-Z]' then {_most(LEAST_BITS['mixed'])}L else {_most(LEAST_BITS['lower'])}L end"""
     left = "element_at(a.counts, x.enter) - if(x.leave = x.enter, 1, 0)"
     total = f"(a.total - if(x.leave > 0, {table}[element_at(a.counts, greatest(x.leave, 1))] - {table}[element_at(a.counts, greatest(x.leave, 1)) - 1], 0L) + {table}[{left} + 1] - {table}[{left}])"
     hot = f"a.n >= {WINDOW - 1} and {total} <= {most}"
@@ -69,7 +70,7 @@ def _hull(text: str) -> str:
       a -> named_struct('first', a.first, 'last', a.last))"""
 
 
-_MIXES = "(x.text rlike '[0-9]' and x.text rlike '[A-Za-z]' and (x.text rlike '^[0-9a-fA-F]+$' or x.text rlike '[A-Z]'))"
+_LETTER = "x.text rlike '[A-Za-z]'"
 
 
 def spans(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
@@ -93,7 +94,7 @@ def spans(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
     place = {f"s_{k}": F.when(F.size(f"m_{k}") > 0, _places(f"p_{k}", f"m_{k}", min(n, 3), ok[k])).otherwise(none) for n, k in enumerate(every)}
     placed = found.withColumns(place).select("row", "text", F.array_sort(F.concat("s_assign", "s_access", "s_hex")).alias("base"), "s_candidate")
     allowed = F.array(*(F.lit(a) for a in allow)) if allow else F.expr("cast(array() as array<string>)")
-    maybe = placed.withColumn("allowed", allowed).withColumn("maybe", F.expr(f"filter(s_candidate, x -> {_MIXES} and not x.text rlike r'{ALLOW_PATTERN}' and not array_contains(allowed, x.text))"))
+    maybe = placed.withColumn("allowed", allowed).withColumn("maybe", F.expr(f"filter(s_candidate, x -> {_LETTER} and not x.text rlike r'{ALLOW_PATTERN}' and not array_contains(allowed, x.text))"))
     hulls = maybe.withColumn("hulls", F.when(F.size("maybe") > 0, F.expr(f"transform(maybe, y -> named_struct('at', y, 'hull', {_hull('y.text')}))")))
     added = F.expr(
         f"""filter(

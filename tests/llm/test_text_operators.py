@@ -184,6 +184,15 @@ def test_entropy_and_allow_list(spark):
     assert out[0] == "see [secret] here" and out[5] == "[secret]" and out[6] is None and out[1] == texts[1]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_entropy_without_mixed_classes(spark, letters):
+    r = random.Random(7)
+    texts = [f"see {''.join(r.choice(letters) for _ in range(40))} here" for _ in range(200)]
+    assert secrets.scan(docs_of(spark, texts)).where("n_entropy = 1").count() >= 180
+    plain = ["rechtsschutzversicherungsgesellschaften", "internationalization_of_applications", "12345678901234567890123", "--------------------", "abababababababababab12"]
+    assert secrets.scan(docs_of(spark, plain)).where("n_entropy > 0").count() == 0
+
+
 # URLs
 
 
