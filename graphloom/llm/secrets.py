@@ -6,7 +6,8 @@ walks the string with the count of each character in the window and the sum of
 c * log2(c), takes the leaving character out and the entering one in, and so has the
 Shannon entropy of every window by incremental counts. A candidate is reported from the
 first to the last window whose entropy reaches the threshold of its character class,
-unless an allow-list names it or a base span overlaps it.
+unless an allow-list names it or a base span covers it; one that a base span covers in
+part is reported whole, beside that base span.
 
 Places of matches come from the texts between them (``split``) and their lengths.
 """
@@ -100,7 +101,7 @@ def spans(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
         f"""filter(
           transform(filter(hulls, z -> z.hull.first >= 0), z -> named_struct('start', z.at.start + z.hull.first, 'kind', 3,
             'end', z.at.start + z.hull.last + {WINDOW}, 'text', substr(z.at.text, z.hull.first + 1, z.hull.last + {WINDOW} - z.hull.first))),
-          z -> not exists(base, b -> b.start < z.end and z.start < b.end))"""
+          z -> not exists(base, b -> b.start <= z.start and z.end <= b.end))"""
     )
     return hulls.select("row.*", F.col("base").alias("_base"), F.coalesce(added, none).alias("_added"))
 
