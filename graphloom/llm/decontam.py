@@ -5,13 +5,13 @@ and a document that share a run of ``LEAST`` words (a seed) are tiled: running
 Karp-Rabin hashing finds the longest common runs of words that are not marked yet,
 marks the longest first in both texts, and repeats with shorter search lengths until no
 run of ``LEAST`` words is left. Tiles may stand in any order, so reordered passages
-count in full. An item is found in a document if its tiles cover at least ``coverage``
-of its words.
+count in full. Hashes only find seeds: tiles are made of words that are equal. An item
+is found in a document if its tiles cover at least ``coverage`` of its words.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,8 @@ from graphloom.llm import shared as S
 U64 = S.U64
 #: Words in a seed and in the shortest tile.
 LEAST = 5
+#: Places of a document whose pairs with those of an item are listed at once.
+CHUNK = 1 << 14
 #: Words of an item that tiles must cover.
 COVERAGE = 0.6
 #: Benchmarks of at most so many bytes of text go to every task; larger ones meet the documents by a shuffle on seeds.
@@ -33,15 +35,20 @@ _TABLE = S.LOWER.copy()
 _TABLE[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, and where each text's words start."""
+def clean(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some texts in lower case, without punctuation, and where each text starts."""
     data, offsets = S.text_bytes(column)
-    clean = _TABLE[data]
-    if len(clean) > 1:  # capital letters U+00C0 to U+00DE
+    out = _TABLE[data]
+    if len(out) > 1:  # capital letters U+00C0 to U+00DE
         capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        clean[1:][capital] += 0x20
-    h, _, _, at = S.words(clean, offsets)
-    return h, at
+        out[1:][capital] += 0x20
+    return out, offsets
+
+
+def numbered(item: bytes, doc: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of an item and a document, equal only for equal words."""
+    number: dict[bytes, int] = {}
+    return tuple(np.array([number.setdefault(w, len(number)) for w in x.split()], U64) for x in (item, doc))
 
 
 def _free(marked: np.ndarray, n: int) -> np.ndarray:
@@ -50,8 +57,23 @@ def _free(marked: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(total[n:] == total[: len(total) - n]) if len(marked) >= n else np.zeros(0, np.int64)
 
 
+def _fragments(p: int, t: int, n: int, used_i: np.ndarray, used_d: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """What marks have left of a match, as matches of at least ``least`` words."""
+    gone = np.flatnonzero(used_i[p : p + n] | used_d[t : t + n])
+    bounds = np.concatenate(([-1], gone, [n]))
+    for a, b in zip((bounds[:-1] + 1).tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= least:
+            yield a - b, p + a, t + a
+
+
 def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in item, start in document, length) of the tiles."""
+    """Greedy string tiling: (start in item, start in document, length) of the tiles.
+
+    The longest match of unmarked words is marked first, of equal ones that which
+    starts first in the item, then in the document, until none of ``least`` words is
+    left. Hashes of ``search`` words find the matches of that length and more; they
+    wait in a heap, and what marks leave of a match goes back to it.
+    """
     used_i, used_d = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     tiles: list[tuple[int, int, int]] = []
     search = max(least, min(20, len(item)))
@@ -59,43 +81,42 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[in
     while True:
         a, b = _free(used_i, search), _free(used_d, search)
         ha, hb = S.BY_WORD.slices(sums_i, a, a + search), S.BY_WORD.slices(sums_d, b, b + search)
-        by_hash = defaultdict(list)
-        for p, h in zip(a.tolist(), ha.tolist(), strict=True):
-            by_hash[h].append(p)
-        hit = np.flatnonzero(np.isin(hb, ha))
+        order = np.argsort(ha, kind="stable")
+        lo, hi = np.searchsorted(ha[order], hb), np.searchsorted(ha[order], hb, side="right")
         matches = []
-        for t, h in zip(b[hit].tolist(), hb[hit].tolist(), strict=True):
-            for p in by_hash[h]:
-                if p and t and not used_i[p - 1] and not used_d[t - 1] and item[p - 1] == doc[t - 1]:
-                    continue  # part of a match that starts earlier
-                n = 0
-                while p + n < len(item) and t + n < len(doc) and not used_i[p + n] and not used_d[t + n] and item[p + n] == doc[t + n]:
-                    n += 1
-                if n >= search:
-                    matches.append((-n, p, t))
-        matches.sort()
-        if matches and -matches[0][0] > 2 * search:
-            search = -matches[0][0]
-            continue
-        marked = False
-        for n, p, t in matches:
-            if not used_i[p : p - n].any() and not used_d[t : t - n].any():
-                used_i[p : p - n] = True
-                used_d[t : t - n] = True
-                tiles.append((p, t, -n))
-                marked = True
-        if marked and len(matches) > 1:
-            continue  # what was partly covered may still hold a match
+        for k in range(0, len(b), CHUNK):  # pairs of starts with equal hashes
+            n = (hi - lo)[k : k + CHUNK]
+            t = np.repeat(b[k : k + CHUNK], n)
+            p = a[order[np.repeat(lo[k : k + CHUNK] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+            inner = (p > 0) & (t > 0)
+            inner[inner] = (item[p[inner] - 1] == doc[t[inner] - 1]) & ~used_i[p[inner] - 1] & ~used_d[t[inner] - 1]
+            for i, d in zip(p[~inner].tolist(), t[~inner].tolist(), strict=True):  # others are part of a match that starts earlier
+                size = 0
+                while i + size < len(item) and d + size < len(doc) and not used_i[i + size] and not used_d[d + size] and item[i + size] == doc[d + size]:
+                    size += 1
+                if size >= search:
+                    matches.append((-size, i, d))
+        heapq.heapify(matches)
+        while matches:
+            n, p, t = heapq.heappop(matches)
+            if used_i[p : p - n].any() or used_d[t : t - n].any():
+                for left in _fragments(p, t, -n, used_i, used_d, search):
+                    heapq.heappush(matches, left)
+                continue
+            used_i[p : p - n] = True
+            used_d[t : t - n] = True
+            tiles.append((p, t, -n))
         if search == least:
             return tiles
         search = max(least, search // 2)
 
 
 class Items:
-    """The benchmark in memory: words of each item, and items by seed."""
+    """The benchmark in memory: text of each item, and items by seed."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray]) -> None:
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list[int], texts: list[bytes]) -> None:
+        self.ids, self.texts = ids, texts
+        words = [S.words(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in texts]
         grams = [S.BY_WORD.grams(S.BY_WORD.sums(w), LEAST) for w in words]
         every = np.concatenate(grams) if grams else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -120,6 +141,12 @@ def _pairs(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(c, pa.float64()), pa.array(n, pa.int32())], names=["doc_id", "item_id", "coverage", "n_tiles"])
 
 
+def _found(doc_id: int, item_id: int, item: bytes, doc: bytes) -> list[tuple]:
+    a, b = numbered(item, doc)
+    tiles = tile(a, b)
+    return [(doc_id, item_id, sum(t[2] for t in tiles) / len(a), len(tiles))] if tiles else []
+
+
 def _against(shared_items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared_items.value)
@@ -127,7 +154,8 @@ def _against(shared_items):
             _, offsets = S.text_bytes(batch.column("text"))
             for i, j in S.slices_of(offsets):
                 part = batch.slice(i, j - i)
-                h, at = tokens(part.column("text"))
+                data, offset = clean(part.column("text"))
+                h, _, _, at = S.words(data, offset)
                 grams = S.BY_WORD.grams(S.BY_WORD.sums(h), LEAST)
                 maybe = np.flatnonzero(items.bits[(S.mix(grams) >> U64(42)).astype(np.int64)])
                 doc = np.searchsorted(at, maybe, side="right") - 1
@@ -135,10 +163,9 @@ def _against(shared_items):
                 maybe, doc = maybe[inside], doc[inside]
                 ids, out = part.column("doc_id").to_pylist(), []
                 for d in np.unique(doc).tolist():
+                    text = data[offset[d] : offset[d + 1]].tobytes()
                     for k in items.of(grams[maybe[doc == d]]).tolist():
-                        tiles = tile(items.words[k], h[at[d] : at[d + 1]])
-                        if tiles:
-                            out.append((ids[d], items.ids[k], sum(t[2] for t in tiles) / len(items.words[k]), len(tiles)))
+                        out += _found(ids[d], items.ids[k], items.texts[k], text)
                 yield _pairs(out)
 
     return run
@@ -149,7 +176,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, offsets = S.text_bytes(batch.column("text"))
         for i, j in S.slices_of(offsets):
             part = batch.slice(i, j - i)
-            h, at = tokens(part.column("text"))
+            h, _, _, at = S.words(*clean(part.column("text")))
             grams = S.BY_WORD.grams(S.BY_WORD.sums(h), LEAST)
             start = np.arange(len(grams))
             doc = np.searchsorted(at, start, side="right") - 1
@@ -161,12 +188,10 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            (a, at), (b, bt) = tokens(part.column("item_text")), tokens(part.column("text"))
+            (a, at), (b, bt) = clean(part.column("item_text")), clean(part.column("text"))
             out = []
             for r, (d, k) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("item_id").to_pylist(), strict=True)):
-                item = a[at[r] : at[r + 1]]
-                tiles = tile(item, b[bt[r] : bt[r + 1]])
-                out.append((d, k, sum(t[2] for t in tiles) / len(item), len(tiles)))
+                out += _found(d, k, a[at[r] : at[r + 1]].tobytes(), b[bt[r] : bt[r + 1]].tobytes())
             yield _pairs(out)
 
 
@@ -180,10 +205,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, small: int = SMALL) -> DataF
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).where("item_id is not null and item_text is not null")
     if (items.agg(F.sum(F.octet_length("item_text")).alias("n")).first()["n"] or 0) <= small:
         rows = items.toArrow()
-        h, at = tokens(rows.column("item_text"))
-        words = [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        own = [(i, w) for i, w in zip(rows.column("item_id").to_pylist(), words, strict=True) if len(w) >= LEAST]
-        sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in own], [w for _, w in own]))
+        data, at = clean(rows.column("item_text"))
+        own = [(i, data[x:y].tobytes()) for i, x, y in zip(rows.column("item_id").to_pylist(), at[:-1], at[1:], strict=True)]
+        sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in own], [t for _, t in own]))
         return texts.mapInArrow(_against(sent), ROW)
     keyed = items.withColumn("id", F.xxhash64("item_id", "item_text"))
     wanted = keyed.select("id", F.col("item_text").alias("text")).mapInArrow(_seeds, "id long, seed long").distinct()
@@ -210,5 +234,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The clean rows of ``docs``, all columns."""
-    found = overlaps(docs, benchmark).where(F.col("coverage") >= coverage).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    hit = S.fresh(docs, "hit")
+    found = overlaps(docs, benchmark).where(F.col("coverage") >= coverage).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(hit), "left_anti")

@@ -5,18 +5,19 @@ over the set of an exponential variable, rounded to the exponent of a base b jus
 above 1 (truncated to 16 bits): sketches of unions are register-wise maxima, and equal
 registers are about as likely as sets are similar.
 
-1. One pass over the texts gives each document its set size, a 128-bit digest of the
-   set and the hashes of its bands of registers.
-2. Documents with equal sets form a class, known by its smallest doc_id; only that one
-   goes on, so copies are never paired.
+1. One pass over the texts gives each document its set size, a 128-bit BLAKE2b digest
+   of its words in order and the hashes of its bands of registers.
+2. Documents with the same words in the same order form a class, known by its smallest
+   doc_id; only that one goes on, so copies are never paired.
 3. Documents that share a band value join one coarse group (components of a star from
    the smallest id in each band value; no pairs).
 4. A coarse group is a unit of work. A group larger than ``BLOCK`` is dealt into blocks
    and every two blocks form a unit, so that no task holds an unbounded group. In a
    unit registers are compared jointly: the likelihood of (larger, smaller, equal)
    register counts, given both set sizes, must not lie below a margin under the
-   threshold. What is left is confirmed on the full sets unless both sides are already
-   connected. A unit returns links of a spanning forest, not pairs.
+   threshold. What is left is confirmed on the full sets, of words and not of hashes,
+   unless both sides are already connected. A unit returns links of a spanning forest,
+   not pairs.
 5. Components of the confirmed links.
 """
 
@@ -50,16 +51,27 @@ SEEDS = _rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint3
 _BAND_SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=U64)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of each text, repeats included, and where each text's start."""
-    word, _, _, at = S.words(data, offsets, lower=True)
-    sums = S.BY_WORD.sums(word)
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and words of all shingles, repeats included, and where each text's start."""
     n = np.diff(at)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(n.dtype))
     starts = np.concatenate(([0], np.cumsum(count)))
-    first = np.repeat(at[:-1] - starts[:-1], count) + np.arange(starts[-1])
-    size = np.repeat(np.minimum(n, SHINGLE), count)
-    return S.mix(S.BY_WORD.slices(sums, first, first + size) + size.astype(U64)), starts
+    return np.repeat(at[:-1] - starts[:-1], count) + np.arange(starts[-1]), np.repeat(np.minimum(n, SHINGLE), count), starts
+
+
+def shingle_hashes(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of shingles from hashes of all words."""
+    return S.mix(S.SURE_WORD.slices(S.SURE_WORD.sums(word), first, first + size) + size.astype(U64))
+
+
+def shingle_numbers(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of shingles, equal only for equal ones, from such numbers of all words."""
+    top = int(word.max(initial=0)) + 2
+    word = np.append(word, np.zeros(SHINGLE, np.int64))
+    out = word[first]
+    for k in range(1, SHINGLE):
+        _, out = np.unique(out * top + np.where(k < size, word[first + k] + 1, 0), return_inverse=True)
+    return out
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray, how_many: int) -> np.ndarray:
@@ -77,14 +89,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _runs(batch):
             part = batch.slice(i, j - i)
             data, offsets = S.text_bytes(part.column("text"))
-            hashes, starts = shingle_hashes(data, offsets)
-            size = np.zeros(j - i, np.int64)
-            one, two = np.zeros(j - i, U64), np.zeros(j - i, U64)
-            for d in range(j - i):
-                own = np.unique(hashes[starts[d] : starts[d + 1]])
-                size[d] = len(own)
-                one[d] = own.sum(dtype=U64)
-                two[d] = S.mix(own ^ U64(0xA0761D6478BD642F)).sum(dtype=U64)
+            data = S.LOWER[data]
+            word, s, e, at = S.words(data, offsets, sure=True)
+            raw, to, end = S.spaced(data, s, e)
+            one, two = S.digests(raw[to[a] : end[b - 1]] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            first, length, starts = _places(at)
+            hashes = shingle_hashes(word, first, length)
+            size = np.array([len(np.unique(hashes[a:b])) for a, b in zip(starts[:-1], starts[1:], strict=True)], np.int64)
             full = np.flatnonzero(size)
             bands = np.zeros((j - i, BANDS), U64)
             if len(full):
@@ -94,7 +105,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = S.mix(key + r[:, :, k])
                 bands[full] = key
             out = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(S.signed(one)), pa.array(S.signed(two)), out], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(one), pa.array(two), out], names=["doc_id", "n_shingles", "text_a", "text_b", "bands"])
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -103,9 +114,9 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b, bands of each document."""
+    """doc_id, n_shingles, text_a, text_b, bands of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, text_a long, text_b long, bands array<long>")
 
 
 def not_below(larger: np.ndarray, smaller: np.ndarray, n_u: float, n_v: np.ndarray, cut: float) -> np.ndarray:
@@ -132,10 +143,10 @@ def not_below(larger: np.ndarray, smaller: np.ndarray, n_u: float, n_v: np.ndarr
     return (at >= 0) & (top >= cut)
 
 
-def forest(sets: list[np.ndarray], regs: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], regs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (index pairs) of a spanning forest of the pairs left x right whose sets
     meet the threshold: 100 * intersection >= percent * union."""
-    n = len(ids)
+    n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     every, local = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -150,9 +161,8 @@ def forest(sets: list[np.ndarray], regs: np.ndarray, ids: np.ndarray, left: np.n
         js = js[(label[js] != label[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
         if not len(js):
             continue
-        if len(js) > 4:
-            more, less = (regs[js] < regs[i]).sum(1), (regs[js] > regs[i]).sum(1)
-            js = js[not_below(more, less, float(sizes[i]), sizes[js].astype(float), cut)]
+        more, less = (regs[js] < regs[i]).sum(1), (regs[js] > regs[i]).sum(1)
+        js = js[not_below(more, less, float(sizes[i]), sizes[js].astype(float), cut)]
         own = local[starts[i] : starts[i + 1]]
         member[own] = True
         for part in range(0, len(js), 256):
@@ -173,23 +183,24 @@ def forest(sets: list[np.ndarray], regs: np.ndarray, ids: np.ndarray, left: np.n
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in S.whole_groups(batches, "unit"):
-            bounds = S.group_bounds(table.column("unit").to_numpy())
+            data, offsets = S.text_bytes(table.column("text"))
+            data = S.LOWER[data]
+            word, s, e, at = S.words(data, offsets, sure=True)
+            first, size, starts = _places(at)
+            hashes, exact = shingle_hashes(word, first, size), shingle_numbers(S.word_numbers(data, s, e), first, size)
+            full = np.flatnonzero(np.diff(starts))  # a row that repeats the id of another may be empty
+            starts = np.append(starts[full], len(first))
+            regs = registers(hashes, starts, ESTIMATE)
+            sets = [np.unique(exact[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            unit, ids, sides = (table.column(c).to_numpy()[full] for c in ("unit", "doc_id", "side"))
+            bounds = S.group_bounds(unit)
             u: list[int] = []
             v: list[int] = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                part = table.slice(a, b - a)
-                ids = part.column("doc_id").to_numpy()
-                _, once = np.unique(ids, return_index=True)
-                data, offsets = S.text_bytes(part.column("text"))
-                hashes, starts = shingle_hashes(data, offsets)
-                sets = [np.unique(hashes[starts[d] : starts[d + 1]]) for d in once]
-                ids, side = ids[once], part.column("side").to_numpy()[once]
-                flat = np.concatenate(sets)
-                regs = registers(flat, np.concatenate(([0], np.cumsum([len(s) for s in sets]))), ESTIMATE) if len(ids) > 5 else np.zeros((len(ids), ESTIMATE), np.uint16)
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                pairs = forest(sets, regs, ids, left, right if len(right) else left, percent)
-                u += [int(ids[i]) for i, _ in pairs]
-                v += [int(ids[j]) for _, j in pairs]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                left, right = (np.flatnonzero(sides[a:b] == x) for x in (0, 1))
+                pairs = forest(sets[a:b], regs[a:b], left, right if len(right) else left, percent)
+                u += [int(ids[a + i]) for i, _ in pairs]
+                v += [int(ids[a + j]) for _, j in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -207,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     made = S.cut(sketches(docs))
     full = made.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    sets = full.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = S.cut(sets)
     keyed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("band"))
     stars = keyed.groupBy("band").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -221,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     work = texts.join(units.hint("merge"), "doc_id").repartition("unit").sortWithinPartitions("unit")
     links = work.select("unit", "doc_id", "side", "text").mapInArrow(_verify(percent), "u long, v long")
     found = S.components(links)
-    by_class = classes.select("set_a", "set_b", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    by_class = classes.select("text_a", "text_b", "rep").join(found, F.col("rep") == F.col("id"), "left").select("text_a", "text_b", F.coalesce("component", "rep").alias("component"))
     rest = made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    out = full.select("doc_id", "n_shingles", "text_a", "text_b").join(by_class, ["text_a", "text_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

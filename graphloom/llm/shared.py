@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -101,11 +102,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2b digests of byte strings, as two 64-bit columns."""
+    every = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
+    return every[:, 0], every[:, 1]
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of any slice of a sequence of 64-bit symbols.
 
     With an odd base the powers have inverses, so one running sum gives the hash of
-    each slice by a subtraction and a multiplication, for a whole batch at once.
+    each slice by a subtraction and a multiplication, for a whole batch at once. Long
+    regular sequences collide: good for seeds and keys, never as a proof of equality.
     """
 
     def __init__(self, base: int) -> None:
@@ -138,9 +146,58 @@ class Rolling:
         return (sums[k:] - sums[:n]) * self.up[:n] if n > 0 else np.zeros(0, U64)
 
 
+class Prime:
+    """Polynomial hashes of slices modulo the prime 2**31 - 1 in two lanes: 62 bits.
+
+    The lanes have their own bases and read their own halves of the symbols, which
+    have to be well mixed. No regular sequence makes slices of this hash collide.
+    """
+
+    P = U64((1 << 31) - 1)
+
+    def __init__(self, *bases: int) -> None:
+        self.bases = bases
+        self.up = self.down = np.ones((2, 1), U64)
+
+    def _mod(self, x: np.ndarray) -> np.ndarray:
+        x = (x & self.P) + (x >> U64(31))
+        x = (x & self.P) + (x >> U64(31))
+        return np.where(x >= self.P, x - self.P, x)
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(1, U64)
+        while len(out) < n:
+            out = np.concatenate((out, self._mod(out * U64(pow(base, len(out), int(self.P))))))
+        return out
+
+    def _grow(self, n: int) -> None:
+        if self.up.shape[1] < n:
+            n = max(n, 1 << 16)
+            self.up = np.stack([self._powers(b, n) for b in self.bases])
+            self.down = np.stack([self._powers(pow(b, -1, int(self.P)), n) for b in self.bases])
+
+    def sums(self, symbols: np.ndarray) -> np.ndarray:
+        self._grow(len(symbols) + 1)
+        out = np.zeros((2, len(symbols) + 1), U64)
+        for lane, x in enumerate((symbols & self.P, symbols >> U64(33))):
+            y = x * self.down[lane, : len(symbols)]
+            np.cumsum((y & self.P) + (y >> U64(31)), out=out[lane, 1:])
+        return out
+
+    def slices(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = (self._mod(self._mod(s[end] - s[start]) * up[start]) for s, up in zip(sums, self.up, strict=True))
+        return one << U64(31) | two
+
+    def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """Of every k consecutive symbols."""
+        at = np.arange(max(0, sums.shape[1] - k))
+        return self.slices(sums, at, at + k)
+
+
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=U64) | U64(1)
-BY_BYTE, BY_WORD, BY_CONTEXT = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
+BY_BYTE, BY_WORD = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+SURE_BYTE, SURE_WORD = Prime(1_203_847_613, 1_759_220_927), Prime(1_487_326_921, 1_912_034_477)
 #: Words end at a space or one of the bytes 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -187,9 +244,13 @@ def _word_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 PIECE = 1 << 19
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte, its end, where each text's words start)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, sure: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, its end, where each text's words start).
+
+    ``sure``: hashes of ``Prime`` in place of those of ``Rolling``.
+    """
     n, at, out = len(data), 0, []
+    by = SURE_BYTE if sure else BY_BYTE
     while at < n:
         to = min(n, at + PIECE)
         while to < n and not SPACE[data[to]]:
@@ -197,8 +258,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
         part = data[at:to]
         starts, ends = offsets - at, offsets - 1 - at
         s, e = _word_ends(part, starts[(starts >= 0) & (starts < to - at)], ends[(ends >= 0) & (ends < to - at)])
-        sums = BY_BYTE.sums(BYTE_VALUES[LOWER[part] if lower else part])
-        out.append((mix(BY_BYTE.slices(sums, s, e) + (e - s).astype(U64)), s + at, e + at))
+        sums = by.sums(BYTE_VALUES[LOWER[part] if lower else part])
+        out.append((mix(by.slices(sums, s, e) + (e - s).astype(U64)), s + at, e + at))
         at = to
     if not out:
         z = np.zeros(0, np.int64)
@@ -207,6 +268,33 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return h, s, e, np.searchsorted(s, offsets)
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by one space each, and where each starts and ends in that."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - 1
+    out = np.full(int(to[-1]) + 1 if len(to) else 0, 32, np.uint8)
+    plain = np.ones(len(out), bool)
+    plain[to] = False
+    out[plain] = data[~SPACE[data]]
+    return out.tobytes(), to - size, to
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word of the bytes, equal only for equal words."""
+    at = np.concatenate(([0], np.cumsum(ends - starts)))
+    letters = np.ascontiguousarray(data[~SPACE[data]])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)])
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until it is none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

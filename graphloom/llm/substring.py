@@ -9,9 +9,10 @@ earlier); where it reaches the threshold, the maximal matched span is removed.
 
 Sending every shard to every document would cost shards x documents. A shard can match
 only documents that hold its key, so it is sent to those alone: shards and documents
-meet by a shuffle on the key. Copies of a context are known as such by its hash and
-never streamed. A key with very many different contexts is not one shard: there each
-window is a row and the earliest place of its hash is found by a partial aggregation.
+meet by a shuffle on the key. Copies of a context are known as such by a 128-bit
+BLAKE2b digest of its words and never streamed; all others go as words, not as hashes.
+A key with very many different contexts is not one shard: there each window is a row
+and the earliest place of its digest is found by a partial aggregation.
 """
 
 from __future__ import annotations
@@ -103,22 +104,26 @@ class SuffixAutomaton:
         return new
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+def _slices(raw: bytes, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[bytes]:
+    """Words lo to hi (exclusive) with one space between, of words joined so."""
+    return (raw[x:y] for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True))
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[tuple]:
     data, offsets = S.text_bytes(batch.column("text"))
     ids = batch.column("doc_id").to_numpy()
     for i, j in S.slices_of(offsets):
-        h, _, _, at = S.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield ids[i:j], np.zeros(j - i, np.int64), h, at
+        part = data[offsets[i] : offsets[j]]
+        h, s, e, at = S.words(part, offsets[i : j + 1] - offsets[i])
+        yield ids[i:j], np.zeros(j - i, np.int64), h, at, lambda lo, hi, part=part, s=s, e=e: _slices(*S.spaced(part, s, e), lo, hi)
 
 
 def _contexts(length: int):
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = S.text_bytes(batch.column("text"))
         row, lo, hi, v, hot = W.flat_runs(batch.column("runs"))
-        h, _, _, at = S.words(data, offsets)
-        raw = h.tobytes()
-        a, b = at[row] + lo, np.minimum(at[row] + hi + length, at[row + 1])
-        found = [raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        _, s, e, at = S.words(data, offsets)
+        found = list(_slices(*S.spaced(data, s, e), at[row] + lo, np.minimum(at[row] + hi + length, at[row + 1])))
         ids = batch.column("doc_id").to_numpy()[row]
         return pa.RecordBatch.from_arrays([pa.array(v), pa.array(ids), pa.array(lo), pa.array(hot), pa.array(found, pa.binary())], names=["v", "doc_id", "lo", "hot", "context"])
 
@@ -155,8 +160,9 @@ def _shards(length: int):
             raw = table.column("context").to_pylist()
             bounds = S.group_bounds(table.column("v").to_numpy()).tolist()
             found: list[tuple[int, int, int]] = []
+            number: dict[bytes, int] = {}
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                for n, s, e in stream([np.frombuffer(x, np.int64).tolist() for x in raw[a:b]], length):
+                for n, s, e in stream([[number.setdefault(w, len(number)) for w in x.split(b" ")] for x in raw[a:b]], length):
                     found.append((ids[a + n], lo[a + n] + s, lo[a + n] + e))
             i, s, e = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "start", "end"])
@@ -167,17 +173,18 @@ def _shards(length: int):
 def _each_window(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lo, v = (batch.column(c).to_numpy() for c in ("doc_id", "lo", "v"))
-            raw = batch.column("context").to_pylist()
-            size = np.array([len(x) // 8 for x in raw], np.int64)
-            symbols = np.frombuffer(b"".join(raw), U64)
-            count = np.maximum(size - length + 1, 0)
-            row = np.repeat(np.arange(len(raw)), count)
-            begin = np.concatenate(([0], np.cumsum(count)))[:-1]
-            place = np.arange(len(row)) - begin[row]
-            at = (np.cumsum(size) - size)[row] + place
-            one = S.mix(S.BY_CONTEXT.slices(S.BY_CONTEXT.sums(symbols), at, at + length))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((lo[row] + place).astype(np.int32)), pa.array(v[row]), pa.array(S.signed(one))], names=["doc_id", "start", "v", "a"])
+            for i in range(0, batch.num_rows, 512):
+                ids, lo, v, raw = (batch.column(c).slice(i, 512).to_numpy(zero_copy_only=False) for c in ("doc_id", "lo", "v", "context"))
+                data = np.frombuffer(b" ".join(raw), np.uint8)
+                ends = np.append(np.flatnonzero(data == 32), len(data))
+                starts = np.append(0, ends[:-1] + 1)
+                size = np.array([x.count(b" ") + 1 for x in raw], np.int64)
+                count = np.maximum(size - length + 1, 0)
+                row = np.repeat(np.arange(len(raw)), count)
+                place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                at = (np.cumsum(size) - size)[row] + place
+                one, two = S.digests(_slices(data.tobytes(), starts, ends, at, at + length))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((lo[row] + place).astype(np.int32)), pa.array(v[row]), pa.array(one), pa.array(two)], names=["doc_id", "start", "v", "a", "b"])
 
     return run
 
@@ -189,9 +196,9 @@ def repeated_spans(docs: DataFrame, length: int = 20) -> DataFrame:
     found = W.candidates(texts, _words, length, min(GRAM, length), first_stays=True)
     work = W.contexts(texts, found.where("work"), _contexts(length))
     cold = work.where("not hot").repartition("v").sortWithinPartitions("v", "doc_id", "lo").mapInArrow(_shards(length), "doc_id long, start int, end int")
-    each = work.where("hot").mapInArrow(_each_window(length), "doc_id long, start int, v long, a long")
-    first = each.groupBy("v", "a").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    hot = each.join(first, ["v", "a"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    each = work.where("hot").mapInArrow(_each_window(length), "doc_id long, start int, v long, a long, b long")
+    first = each.groupBy("v", "a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    hot = each.join(first, ["v", "a", "b"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + length).alias("end"))
     whole = found.where("whole").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     return whole.unionByName(cold).unionByName(hot)
 

@@ -2,11 +2,12 @@
 
 Suffixes are ordered only through the threshold: most-significant-digit passes split
 the suffixes into groups, and the groups that are left at full depth are exactly the
-windows that occur more than once. The first digit is the key of ``windows`` (equal for
-equal windows, so no group is torn apart), which deals the suffixes to tasks; later
-digits are 50 bytes each and refine the groups inside a task. A suffix alone in its
-group drops out at once. A key with very many different contexts is not sorted in one
-task: there each window is one row, counted by its digits with a partial aggregation.
+windows that occur more than once. The key of ``windows`` (equal for equal windows, so
+no group is torn apart) deals the suffixes to tasks; there the digits are the bytes
+themselves, eight a pass, most significant first. A pass orders only groups whose
+digits differ, and a suffix alone in its group drops out at once. A key with very many
+different contexts is not sorted in one task: there one pass takes all digits at once,
+each window is a row, and its 128-bit digest is counted with a partial aggregation.
 """
 
 from __future__ import annotations
@@ -23,23 +24,28 @@ from graphloom.llm import shared as S
 from graphloom.llm import windows as W
 
 U64 = S.U64
-#: Bytes of the grams that give the first digit, and of every later digit.
-GRAM, DIGIT = 32, 50
+#: Bytes of the grams that give the key, and of a digit.
+GRAM, DIGIT = 32, 8
 #: Longest stretch of a text that is scanned at once.
 STRETCH = 1 << 18
 
 
 def _stretches(length: int):
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
         data, offsets = S.text_bytes(batch.column("text"))
         ids = batch.column("doc_id").to_numpy()
+
+        def part(data: np.ndarray, *what: np.ndarray) -> tuple:
+            raw = data.tobytes()
+            return what[0], what[1], S.BYTE_VALUES[data], what[2], lambda lo, hi: (raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True))
+
         for i, j in S.slices_of(offsets, STRETCH):
             if offsets[j] - offsets[i] <= STRETCH:
-                yield ids[i:j], np.zeros(j - i, np.int64), S.BYTE_VALUES[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+                yield part(data[offsets[i] : offsets[j]], ids[i:j], np.zeros(j - i, np.int64), offsets[i : j + 1] - offsets[i])
                 continue
             for a in range(0, int(offsets[j] - offsets[i]), STRETCH):  # one long text
                 b = min(a + STRETCH + length - 1, int(offsets[j] - offsets[i]))
-                yield ids[i:j], np.array([a]), S.BYTE_VALUES[data[offsets[i] + a : offsets[i] + b]], np.array([0, b - a])
+                yield part(data[offsets[i] + a : offsets[i] + b], ids[i:j], np.array([a]), np.array([0, b - a]))
 
     return parts
 
@@ -57,8 +63,8 @@ def _contexts(length: int):
     return cut_out
 
 
-def _digits(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Row and start of each window of the contexts, and a function for each digit."""
+def _windows(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the contexts, and of each window in them its row, start and place in the bytes."""
     column = table.column("context")
     column = (pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -68,33 +74,56 @@ def _digits(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(column)), count)
     begin = np.concatenate(([0], np.cumsum(count)))
     place = np.arange(begin[-1]) - begin[row]
-    at = offsets[row] + place
-    sums = S.BY_CONTEXT.sums(S.BYTE_VALUES[data])
+    return data, row, place, offsets[row] + place
+
 
-    def digit(d: int, which: np.ndarray) -> np.ndarray:
-        a = at[which] + d
-        return S.mix(S.BY_CONTEXT.slices(sums, a, a + min(DIGIT, length - d)))
+def _digits(data: np.ndarray) -> np.ndarray:
+    """The DIGIT bytes that start at each place, the first one most significant."""
+    out = np.zeros(len(data), U64)
+    for k in range(DIGIT):
+        out[: len(data) - k] |= data[k:].astype(U64) << U64(8 * (DIGIT - 1 - k))
+    return out
 
-    return row, place, [lambda which, d=d: digit(d, which) for d in range(0, length, DIGIT)]
+
+def sort_passes(key: np.ndarray, at: np.ndarray, digits: np.ndarray, length: int) -> np.ndarray:
+    """Windows (numbers, in order) whose key and ``length`` bytes another window has too.
+
+    ``key`` of each window, in ascending runs or not; ``at``: its place in ``digits``.
+    """
+    order = np.arange(len(at))
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    place, group = at, key
+    for d in range(0, length, DIGIT):
+        x = digits[place + d] >> U64(8 * max(0, DIGIT - (length - d)))
+        if d:
+            uneven = ~new[1:] & (x[1:] != x[:-1])
+            if not uneven.any():
+                continue
+            group = np.cumsum(new)
+            torn = np.zeros(group[-1] + 1, bool)
+            torn[group[1:][uneven]] = True
+            some = np.flatnonzero(torn[group])
+        else:
+            some = np.arange(len(at))
+        sorted_ = some[np.lexsort((x[some], group[some]))]
+        order[some], place, x[some], own = order[sorted_], place.copy(), x[sorted_], group[sorted_]
+        place[some] = at[order[some]]
+        first = np.ones(len(some), bool)
+        first[1:] = (own[1:] != own[:-1]) | (x[some][1:] != x[some][:-1])
+        new[some] = first
+        last = np.append(new[1:], True)
+        stay = ~(new & last)
+        order, place, new = order[stay], place[stay], new[stay]
+        if not len(order):
+            break
+    return np.sort(order)
 
 
 def repeated(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and start of every window of the contexts that another window of its key equals."""
-    row, place, digits = _digits(table, length)
-    group = table.column("v").to_numpy().view(U64)[row]
-    left = np.arange(len(row))
-    for digit in digits:
-        group = S.mix(group + S.mix(digit(left)))
-        order = np.argsort(group, kind="stable")
-        g = group[order]
-        same = np.zeros(len(g), bool)
-        same[1:] = g[1:] == g[:-1]
-        same[:-1] |= g[:-1] == g[1:]
-        order = order[same]
-        left, group = left[order], group[order]
-        if not len(left):
-            break
-    left = np.sort(left)
+    data, row, place, at = _windows(table, length)
+    left = sort_passes(table.column("v").to_numpy()[row], at, _digits(data), length)
     return row[left], place[left]
 
 
@@ -121,15 +150,12 @@ def _sort_groups(length: int):
 def _each_window(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                row, place, digits = _digits(part, length)
-                every = np.arange(len(row))
-                one, two = part.column("v").to_numpy().view(U64)[row], np.zeros(len(row), U64)
-                for digit in digits:
-                    d = digit(every)
-                    one, two = S.mix(one + d), S.mix(two ^ (d * U64(3)))
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[row]), pa.array((part.column("lo").to_numpy()[row] + place).astype(np.int32)), pa.array(S.signed(one)), pa.array(S.signed(two))], names=["doc_id", "start", "a", "b"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                data, row, place, at = _windows(part, length)
+                raw = data.tobytes()
+                one, two = S.digests(raw[p : p + length] for p in at.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[row]), pa.array((part.column("lo").to_numpy()[row] + place).astype(np.int32)), pa.array(one), pa.array(two)], names=["doc_id", "start", "a", "b"])
 
     return run
 

@@ -41,15 +41,15 @@ def runs(symbols: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.n
     """Runs of the windows of several sequences that stand one after the other.
 
     ``at``: where each sequence starts, and the end. Returns per run: sequence, first
-    and last window start (in the whole array), key, hash of its context (all symbols
-    of its windows), and whether a window may repeat within the run itself.
+    and last window start (in the whole array), key, and whether a window may repeat
+    within the run itself.
     """
     w = length - k + 1
     gram = S.mix(S.BY_WORD.grams(S.BY_WORD.sums(symbols), k)) | U64(1)
     low = sliding(gram, w, np.minimum, 2**64 - 1)
     z = np.zeros(0, np.int64)
     if not len(low):
-        return z, z, z, np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+        return z, z, z, np.zeros(0, U64), np.zeros(0, bool)
     ok = np.zeros(len(low) + 1, np.int8)
     a, b = at[:-1], np.maximum(at[1:] - length + 1, at[:-1])
     a, b = a[b > a], b[b > a]
@@ -58,7 +58,7 @@ def runs(symbols: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.n
     ok = np.cumsum(ok[:-1]).astype(bool)
     starts = np.flatnonzero(ok)
     if not len(starts):
-        return z, z, z, np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+        return z, z, z, np.zeros(0, U64), np.zeros(0, bool)
     key = low[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (starts[1:] != starts[:-1] + 1) | (key[1:] != key[:-1])
@@ -78,37 +78,39 @@ def runs(symbols: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.n
     home = np.searchsorted(at, anchor, side="right") - 1
     found, times = np.unique(S.mix(gram[anchor] ^ S.mix(home.astype(U64) + U64(7))), return_counts=True)
     multi = np.isin(S.mix(v ^ S.mix(seq.astype(U64) + U64(7))), found[times > 1])
-    sums = S.BY_CONTEXT.sums(symbols)
-    context = S.mix(S.BY_CONTEXT.slices(sums, lo, hi + length) + (hi - lo).astype(U64))
-    return seq, lo, hi, v, context, multi
+    return seq, lo, hi, v, multi
 
 
-Symbols = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+#: Of a batch: ids, place of the first symbol in its text, symbols, starts of the
+#: sequences, and a function that gives the bytes of slices of the symbols.
+Symbols = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], Iterator[bytes]]]]]
 
 
 def _scan(parts: Symbols, length: int, k: int, keys_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, base, symbols, at in parts(batch):
-                seq, lo, hi, v, c, multi = runs(symbols, at, length, k)
+            for ids, base, symbols, at, raw in parts(batch):
+                seq, lo, hi, v, multi = runs(symbols, at, length, k)
                 v = pa.array(S.signed(v))
                 if keys_only:
                     yield pa.RecordBatch.from_arrays([v], names=["v"])
                     continue
                 move = base[seq] - at[seq]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[seq]), v, pa.array(S.signed(c)), pa.array((lo + move).astype(np.int32)), pa.array((hi + move).astype(np.int32)), pa.array(multi)], names=["doc_id", "v", "c", "lo", "hi", "multi"])
+                c, d = S.digests(raw(lo, hi + length))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[seq]), v, pa.array(c), pa.array(d), pa.array((lo + move).astype(np.int32)), pa.array((hi + move).astype(np.int32)), pa.array(multi)], names=["doc_id", "v", "c", "d", "lo", "hi", "multi"])
 
     return run
 
 
-RUN_ROW = "doc_id long, v long, c long, lo int, hi int, multi boolean"
+RUN_ROW = "doc_id long, v long, c long, d long, lo int, hi int, multi boolean"
 
 
 def candidates(texts: DataFrame, parts: Symbols, length: int, k: int, first_stays: bool) -> DataFrame:
     """Runs with a window that may repeat: doc_id, lo, hi, v, whole, work, hot.
 
-    ``whole``: every window of the run repeats, since the whole context stands
-    elsewhere too (``first_stays``: earlier). ``work``: windows have to be compared with
+    ``whole``: every window of the run repeats, since the whole context (known by a
+    128-bit BLAKE2b digest of its bytes) stands elsewhere too (``first_stays``:
+    earlier). ``work``: windows have to be compared with
     the other contexts of the key; of equal contexts only the first works. ``hot``: the
     key's different contexts have more than HOT windows.
     """
@@ -116,12 +118,12 @@ def candidates(texts: DataFrame, parts: Symbols, length: int, k: int, first_stay
     rows = texts.mapInArrow(_scan(parts, length, k, False), RUN_ROW)
     known = rows.join(seen, "v").where("n > 1 or multi").drop("n")
     known = S.cut(known)
-    classes = known.groupBy("v", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("multi").alias("inner"), F.max(F.col("hi") - F.col("lo") + 1).alias("size"))
+    classes = known.groupBy("v", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("multi").alias("inner"), F.max(F.col("hi") - F.col("lo") + 1).alias("size"))
     keys = classes.groupBy("v").agg(F.count("*").alias("m"), F.sum("size").alias("windows"))
     classes = classes.join(keys, "v")
     is_first = F.struct("doc_id", "lo") == F.col("first")
     whole = ~is_first if first_stays else F.col("n") > 1
-    out = known.drop("multi").join(classes, ["v", "c"]).select("doc_id", "lo", "hi", "v", whole.alias("whole"), (is_first & ((F.col("m") > 1) | F.col("inner"))).alias("work"), (F.col("windows") > HOT).alias("hot"))
+    out = known.drop("multi").join(classes, ["v", "c", "d"]).select("doc_id", "lo", "hi", "v", whole.alias("whole"), (is_first & ((F.col("m") > 1) | F.col("inner"))).alias("work"), (F.col("windows") > HOT).alias("hot"))
     return S.cut(out.where("whole or work"))
 
 

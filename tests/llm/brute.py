@@ -78,3 +78,44 @@ def near_duplicates(rows, percent):
             x, y = find(sets[a][0]), find(sets[b][0])
             root[max(x, y)] = min(x, y)
     return [(i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets]
+
+
+PLAIN = re.compile(r"[^\W_]+")
+
+
+def tiling(item, doc, least):
+    """Greedy string tiling word by word: the longest unmarked match first, ties by start."""
+    used_i, used_d, tiles = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for t in range(len(doc)):
+                n = 0
+                while p + n < len(item) and t + n < len(doc) and item[p + n] == doc[t + n] and not used_i[p + n] and not used_d[t + n]:
+                    n += 1
+                best = max(best, (n, -p, -t))
+        n, p, t = best[0], -best[1], -best[2]
+        if n < least:
+            return tiles
+        used_i[p : p + n] = used_d[t : t + n] = [True] * n
+        tiles.append((p, t, n))
+
+
+def decontaminate(rows, items, coverage, least=5):
+    split = lambda t: PLAIN.findall((t or "").lower())
+    out = []
+    for i, text in rows:
+        found = []
+        for k, item in items:
+            w = split(item)
+            if i is not None and k is not None and len(w) >= least:
+                share = sum(n for *_, n in tiling(w, split(text), least)) / len(w)
+                if share >= coverage:
+                    found.append((share, -k))
+        top = max(found, default=None)
+        out.append((i, bool(found), not found, len({k for _, k in found}), -top[1] if top else None, top[0] if top else 0.0))
+    return out
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))

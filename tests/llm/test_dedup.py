@@ -54,6 +54,43 @@ def test_repeated_ids_and_empty_tables(spark):
     assert embed_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_regular_strings_are_told_apart(spark):
+    """A Thue-Morse string and its complement have the same polynomial hash modulo 2**64."""
+    rows, more = [], " ".join("cdefghijklmnopqrstu")
+    for n in (512, 2048):
+        one, two = brute.thue_morse(n), brute.thue_morse(n, "b", "a")
+        rows += [one, two, f"{one} {more}", f"{two} {more}", " ".join(one), " ".join(two)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(suffix_dedup.dedup(docs, 400)) == sorted(brute.suffix_dedup(rows, 400), key=str)
+    assert rows_of(substring.dedup(docs, 20)) == sorted(brute.substring_dedup(rows, 20), key=str)
+    assert rows_of(setsketch.near_duplicates(docs, 85)) == sorted(brute.near_duplicates(rows, 85), key=str)
+
+
+def test_radix_passes_order_by_bytes():
+    r = random.Random(8)
+    for length in (3, 8, 13, 40):
+        data = bytes(r.choice(b"ab") for _ in range(600)) * 2
+        at = np.arange(len(data) - length + 1)
+        key = np.array([data[p] % 2 for p in at])
+        left = suffix_dedup.sort_passes(key, at, suffix_dedup._digits(np.frombuffer(data, np.uint8)), length)
+        count = Counter(data[p : p + length] for p in at)
+        assert left.tolist() == [p for p in at.tolist() if count[data[p : p + length]] > 1]
+
+
+def test_prime_hashes_of_slices():
+    r = np.random.default_rng(9)
+    x = S.mix(r.integers(0, 3, 5000, dtype=np.uint64) + np.uint64(1))
+    start = r.integers(0, 4000, 3000)
+    size = r.integers(0, 12, 3000)
+    h = S.SURE_WORD.slices(S.SURE_WORD.sums(x), start, start + size)
+    of = {}
+    for a, n, v in zip(start.tolist(), size.tolist(), h.tolist(), strict=True):
+        of.setdefault(x[a : a + n].tobytes(), set()).add(v)
+    assert all(len(v) == 1 for v in of.values()) and len(set().union(*of.values())) == len(of)
+    assert (S.SURE_WORD.grams(S.SURE_WORD.sums(x), 5) == S.SURE_WORD.slices(S.SURE_WORD.sums(x), np.arange(4996), np.arange(5, 5001))).all()
+
+
 def test_long_word_and_long_text(spark):
     rows = [(1, "w" * 700_000), (2, "w" * 700_000 + " x"), (3, "q " * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
