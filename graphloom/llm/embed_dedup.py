@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import shared as S
 
+_log = logging.getLogger(__name__)
 #: Neighbours of a vector, of a saturated one, and sampled vectors it is a neighbour of.
 K, LONGEST, REVERSE = 8, 24, 8
 #: Sort orders for the first neighbours, sign bits of each, and how far a vector looks.
@@ -242,7 +244,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             graph = _refine(graph, short, k, threshold, turn)
             turn += 1
         coarse = S.cut(S.components(graph.where(F.col("sim") >= threshold - SLACK).select("u", "v")))
-        if _audit(reps, coarse, threshold) >= RECALL:
+        recall = _audit(reps, coarse, threshold)
+        _log.info("turn %d: audited recall %.4f", turn, recall)
+        if recall >= RECALL:
             break
         k = min(2 * k, LONGEST)
     else:

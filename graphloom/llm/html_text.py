@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never shown.
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area map".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title desc metadata annotation annotation-xml meta link base param source track area".split())
 #: Blocks, and the ones with a blank line around them.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 MARGIN = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
@@ -44,8 +46,8 @@ ENDS = {
 }
 #: Where text can't stand.
 TABLE_PARTS = frozenset("table tbody thead tfoot tr colgroup".split())
-#: Open elements nested deeper than this stay on one level.
-DEPTH = 300
+#: Input elements whose value is shown as it is.
+BUTTONS = frozenset("submit reset button".split())
 #: Columns are padded up to this width; longer cells stick out.
 WIDEST = 60
 
@@ -72,24 +74,35 @@ class Node:
         return None
 
 
-def parse(source: str) -> Node:
-    """The tree of a page."""
+def parse(source: str) -> tuple[Node, int]:
+    """The tree of a page, and its depth."""
     root = Node("#root")
     stack = [root]
+    deepest = 1
+    open_now: Counter[str] = Counter()
+
+    def pop_to(i: int) -> None:
+        open_now.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close(tags: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
+        if not any(open_now[t] > 0 for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                pop_to(i)
                 return
             if stack[i].tag in bounds:
                 return
 
     def open_(tag: str, attrs: str) -> None:
+        nonlocal deepest
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
+        if tag not in VOID:
             stack.append(node)
+            open_now[tag] += 1
+            deepest = max(deepest, len(stack))
 
     def text_(text: str) -> None:
         if stack[-1].tag in TABLE_PARTS and not text.isspace():  # shown before the table
@@ -108,13 +121,13 @@ def parse(source: str) -> Node:
         if end > at:
             text_(html.unescape(source[at:end]) if "&" in source[at:end] else source[at:end])
         if not m:
-            return root
+            return root, deepest
         at = m.end()
         if not m[2]:
             continue
         tag, attrs = m[2].lower(), m[3]
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not open_now["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -135,7 +148,7 @@ def parse(source: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             open_("tr", "")
         if tag not in VOID and tag in BLOCK | {"span", "a", "b", "i"} and stack[-1].tag == "head" and tag != "body":
-            stack.pop()
+            pop_to(len(stack) - 1)
         if attrs.endswith("/") and tag in ("svg", "math"):
             continue
         open_(tag, attrs)
@@ -146,7 +159,7 @@ def parse(source: str) -> Node:
                 text = source[at:end]
                 stack[-1].children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = (source.find(">", end) + 1 or len(source)) if stop else len(source)
-            stack.pop()
+            pop_to(len(stack) - 1)
 
 
 class _Lines:
@@ -224,6 +237,9 @@ def _render(node: Node, out: _Lines, shown: bool, pre: bool, depth: int) -> None
         elif tag == "dialog":
             continue
         if tag == "input":
+            kind = (child.get("type") or "").lower()
+            if visible and kind in BUTTONS:
+                out.add(child.get("value") or ("" if kind == "button" else kind.capitalize()), False)
             continue
         if tag == "table":
             out.block(True)
@@ -263,57 +279,88 @@ def _render(node: Node, out: _Lines, shown: bool, pre: bool, depth: int) -> None
             out.add(" ", False)
 
 
-def _rows(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
-    for child in node.children:
-        if isinstance(child, Node):
-            if child.get("hidden") is not None or _NONE.search(child.get("style") or ""):
-                continue
-            if child.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(child, shown)
-            elif child.tag not in HIDDEN and child.tag not in ("col", "colgroup"):
-                yield child, shown
+def _shown(node: Node, shown: bool) -> bool | None:
+    """Whether a part of a table is visible; None where it takes no place either."""
+    if node.tag in HIDDEN:
+        return None
+    if not node.attrs:
+        return shown
+    style = node.get("style") or ""
+    if node.get("hidden") is not None or _NONE.search(style):
+        return None
+    found = _VISIBILITY.search(style)
+    return found[1].lower() == "visible" if found else shown
+
+
+def _rows(node: Node, shown: bool) -> list[tuple[Node, bool]]:
+    out, wait = [], [(child, shown) for child in reversed(node.children)]
+    while wait:
+        child, outer = wait.pop()
+        visible = _shown(child, outer) if isinstance(child, Node) else None
+        if visible is None or child.tag in ("col", "colgroup"):
+            continue
+        if child.tag in ("tbody", "thead", "tfoot"):
+            wait += [(c, visible) for c in reversed(child.children)]
+        else:
+            out.append((child, visible))
+    return out
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.get(name) or "1"
+    return min(int(value), 1000) if value.isdigit() and len(value) < 6 and int(value) else 1
 
 
 def _table(table: Node, shown: bool, depth: int) -> list[str]:
-    """Lines of a table; cells of a column start at the same place."""
-    grid: list[list[tuple[list[str], int]] | list[str]] = []
+    """Lines of a table; cells of a column start at the same place.
+
+    A cell that spans rows keeps its columns free in the rows below, one that spans
+    columns widens the last of them where its text needs it.
+    """
+    grid: list[list[tuple[list[str], int, int]] | list[str]] = []
+    taken: dict[int, int] = {}
     for row, visible in _rows(table, shown):
         if row.tag != "tr":
             own = _Lines()
             _render(row, own, visible, False, depth)
             grid.append(own.text().split("\n"))
             continue
-        cells = []
+        cells, at, down = [], 0, {}
         for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag in HIDDEN or cell.get("hidden") is not None or _NONE.search(cell.get("style") or ""):
+            seen = _shown(cell, visible) if isinstance(cell, Node) else None
+            if seen is None:
                 continue
             own = _Lines()
             wrap = Node("#cell")
             wrap.children = [cell] if cell.tag not in ("td", "th") else cell.children
-            found = _VISIBILITY.search(cell.get("style") or "")
-            _render(wrap, own, found[1].lower() == "visible" if found else visible, False, 0)
-            span = cell.get("colspan") or "1"
-            cells.append(([x for x in own.text().split("\n") if x] or [""], min(int(span), 1000) if span.isdigit() and len(span) < 6 and int(span) else 1))
+            _render(wrap, own, seen, False, 0)
+            while taken.get(at, 0) > 0:
+                at += 1
+            width, rows = _span(cell, "colspan"), _span(cell, "rowspan")
+            cells.append(([x for x in own.text().split("\n") if x] or [""], at, width))
+            if rows > 1:
+                down.update({at + k: rows - 1 for k in range(width)})
+            at += width
+        taken = {k: n - 1 for k, n in taken.items() if n > 1} | down
         grid.append(cells)
     widths: dict[int, int] = {}
-    for row in grid:
-        at = 0
-        for cell in row:
-            if isinstance(cell, tuple):
-                if cell[1] == 1:
-                    widths[at] = max(widths.get(at, 0), *(min(len(x), WIDEST) for x in cell[0]))
-                at += cell[1]
+    cells = [c for row in grid for c in row if isinstance(c, tuple)]
+    for text, at, span in sorted(cells, key=lambda c: c[2]):
+        need = max(min(len(x), WIDEST) for x in text) - 2 * (span - 1) - sum(widths.get(at + k, 0) for k in range(span - 1))
+        widths[at + span - 1] = max(widths.get(at + span - 1, 0), need)
+    place = [0]
+    for k in range(max((at + span for _, at, span in cells), default=0)):
+        place.append(place[-1] + widths.get(k, 0) + 2)
     lines = []
     for row in grid:
         if row and isinstance(row[0], str):
             lines += row
             continue
         for n in range(max((len(c[0]) for c in row), default=0)):
-            line, at = "", 0
-            for text, span in row:
-                width = sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)
-                line += (text[n] if n < len(text) else "").ljust(width) + "  "
-                at += span
+            line = ""
+            for text, at, _ in row:
+                if n < len(text):
+                    line = (line.ljust(place[at]) if len(line) < place[at] else line + "  " * bool(line)) + text[n]
             lines.append(line.rstrip())
     return lines
 
@@ -321,8 +368,14 @@ def _table(table: Node, shown: bool, depth: int) -> list[str]:
 def to_text(source: str | None) -> str:
     """The visible text of a page."""
     out = _Lines()
-    _render(parse(source or ""), out, True, False, 0)
-    return out.text()
+    tree, depth = parse(source or "")
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 4 * depth + 1000))  # frames of Python functions are on the heap
+    try:
+        _render(tree, out, True, False, 0)
+        return out.text()
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ SAMPLE = 400
 ROUNDS, SMOOTH = 3, 0.05
 #: Probability of a character outside the vocabulary, in every language.
 UNKNOWN = 1e-7
+#: Least average gain of a character over the background in a text that counts as identified.
+GAIN = 0.25
 #: Words that the cache of a task holds.
 CACHE = 250_000
 #: Longer words are scored with rescaling, one at a time.
@@ -157,13 +159,16 @@ class Pieces:
         return out
 
 
-def fit_language(counts: Counter, pieces: dict[str, int]) -> np.ndarray:
-    """Piece probabilities of one language from its word counts (words over LONG letters teach nothing)."""
+def fit_language(words: Counter, pieces: dict[str, int]) -> np.ndarray:
+    """Piece probabilities of one language from its word counts (longer words teach in stretches of LONG letters)."""
     p = np.full(len(pieces), 1 / max(1, len(pieces)))
+    counts: Counter = Counter()
+    for w, n in words.items():
+        for k in range(0, len(w), LONG):
+            counts[w[k : k + LONG]] += n
     groups = defaultdict(list)
     for w in counts:
-        if len(w) <= LONG:
-            groups[len(w)].append(w)
+        groups[len(w)].append(w)
     model = Pieces(pieces, p[:, None])
     for _ in range(ROUNDS):
         model.p[:-1, 0] = p
@@ -191,19 +196,25 @@ class Model:
         self.langs, self.probability, self.path = langs, probability, vocabulary_path
 
     def scorer(self) -> Scorer:
-        return Scorer(Pieces(vocabulary(self.path), self.probability), self.langs)
+        pieces = vocabulary(self.path)
+        flat = np.full((len(pieces), 1), 1 / len(pieces))
+        return Scorer(Pieces(pieces, np.hstack([self.probability, flat])), self.langs)
 
 
 class Scorer:
+    """Scores texts; the last column of ``pieces`` is the background, all pieces alike."""
+
     def __init__(self, pieces: Pieces, langs: list[str]) -> None:
         self.pieces, self.langs = pieces, langs
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs)))
+        self.table = np.zeros((1024, len(self.langs) + 1))
 
-    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, posterior, and by how much a character is likelier in that language
+        than in the background (natural log) of each text."""
         split = [t.split() if t and _LETTER.search(t) else None for t in texts]
         if len(self.known) > CACHE:
             self.clear()
@@ -214,17 +225,20 @@ class Scorer:
         if new and self.langs:
             self.table[at : at + len(new)] = self.pieces.log_scores(new)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        langs, scores = [], []
+        langs, scores, gains = [], [], []
         for words in split:
             if not words or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
+                gains.append(0.0)
                 continue
             total = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+            total, background = total[:-1], total[-1]
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return langs, scores
+            gains.append(float((total[best] - background) / sum(map(len, words))))
+        return langs, scores, gains
 
 
 def _held_out() -> F.Column:
@@ -243,10 +257,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary_path: str | None = None) -> Model:
     """Fit on at most ``sample`` documents of each language, outside the held-out fifth."""
     rows = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(F.col("doc_id").alias("_id")).distinct()
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages, each a column of the model
+    place = F.xxhash64("doc_id")
+    for lang, n in many.items():  # about twice the sample goes on, so that no task holds a language's rows
+        share = min(1.0, 2 * sample / n + 50 / n)
+        place = F.when((F.col("lang") == lang) & (F.xxhash64("doc_id") >= int((2 * share - 1) * 2**63) if share < 1 else F.lit(False)), None).otherwise(place)
+    near = rows.select("doc_id", "lang", place.alias("place")).where("place is not null")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(F.col("doc_id").alias("_id")).distinct()
     chosen = F.broadcast(chosen)  # at most ``sample`` ids of each language
-    texts = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = rows.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
     words = texts.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = defaultdict(Counter)
     for r in words.toLocalIterator():  # of the bounded sample only
@@ -264,7 +285,7 @@ def _predict(sent):
             _, offsets = S.text_bytes(batch.column("text"))
             for i, j in S.slices_of(offsets, SLICE):
                 part = batch.slice(i, j - i)
-                langs, scores = scorer.predict(part.column("text").to_pylist())
+                langs, scores, _ = scorer.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -289,10 +310,16 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return predict(docs, fit(docs, sample))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is found with score ``least`` or more."""
+def keep_identified(docs: DataFrame, least: float = 0.5, gain: float = GAIN, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told.
+
+    Kept: texts with a letter, a posterior of ``least`` or more, and a character that is
+    by ``gain`` or more (natural log, on average) likelier in that language than in the
+    background of equally likely pieces. Null and empty texts go.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    keep = S.fresh(docs, "keep")
+    schema = T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value.scorer()
@@ -300,7 +327,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -
             _, offsets = S.text_bytes(batch.column("text").cast(pa.string()))
             for i, j in S.slices_of(offsets, SLICE):
                 part = batch.slice(i, j - i)
-                langs, scores = scorer.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_score"])
+                found = zip(*scorer.predict(part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([lang != "und" and p >= least and g >= gain for lang, p, g in found], pa.bool_())], names=[*part.schema.names, keep])
 
-    return docs.mapInArrow(run, schema).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    return docs.mapInArrow(run, schema).where(F.col(keep)).drop(keep)

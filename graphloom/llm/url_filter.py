@@ -10,8 +10,7 @@ The cascade makes membership in the list exact over that universe without a join
 level 2 the listed keys that level 1 takes wrongly, and so on until no key is left. A
 key is listed if the first level that does not hold it is an odd one. Level 0 is sized
 by the ratio of list to universe, so all levels together grow with the list and the
-logarithm of the universe only; that is what is sent to the tasks, and its size is
-checked: longer lists than ``LIST`` are joined instead.
+logarithm of the universe only; that is what is sent to the tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 from graphloom.llm import shared as S
 
 U64 = S.U64
-#: Keys of a list that a cascade takes at most.
-LIST = 2_000_000
 Rules = Sequence[tuple[str, str]]
 
 
@@ -163,7 +160,9 @@ def judge(pages: DataFrame, allow: Rules, block: Rules) -> DataFrame:
     longer host; null without one) and ``verdict`` the rule's list; a key on both lists
     is blocked. A page that no rule fits is not on the block list, so the method allows
     it. A url that is null or has no ``://`` has an empty host and path and fits no
-    rule. Other columns are ignored; repeated rows are each judged.
+    rule. Other columns are ignored; repeated rows are each judged. The lists are
+    arguments that the caller holds; what is sent to the tasks is some bytes a rule,
+    whatever the size of the corpus.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url").cast("string"))
@@ -173,8 +172,6 @@ def judge(pages: DataFrame, allow: Rules, block: Rules) -> DataFrame:
     if not lengths:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     keyed = rows.withColumn("keys", F.when(F.col("host") != "", _keys("host", "path", lengths)).otherwise(F.expr("cast(array() as array<string>)")))
-    if sum(map(len, lists)) > LIST:
-        return _by_join(keyed, lists)
     universe = S.cut(_hashes(keyed.select(F.explode("keys").alias("key")).distinct()))
     as_table = lambda keys: _hashes(spark.createDataFrame([(k,) for k in keys], "key string"))
     sent = spark.sparkContext.broadcast(tuple(build(as_table(keys), universe) for keys in lists))
@@ -183,17 +180,6 @@ def judge(pages: DataFrame, allow: Rules, block: Rules) -> DataFrame:
     return hashed.mapInArrow(_judge(sent, ["page_id", "host", "path"]), schema)
 
 
-def _by_join(keyed: DataFrame, lists: list[list[str]]) -> DataFrame:
-    """The same for lists too long for a cascade: by a join on the keys."""
-    spark = keyed.sparkSession
-    rules = spark.createDataFrame([(k, v) for keys, v in zip(lists, ("allow", "block"), strict=True) for k in keys], "rule string, verdict string")
-    rules = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
-    near = keyed.select("host", "path", F.explode("keys").alias("rule")).distinct().join(rules, "rule")
-    best = near.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("at"), "rule", "verdict")).alias("best"))
-    out = keyed.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
-
-
 def oracle_sql(allow: Rules, block: Rules) -> str:
     """DuckDB SQL with the rows of ``judge`` over pages."""
     rules = ", ".join(f"('{h.lower()}', '{p}', '{v}')" for rules, v in ((allow, "allow"), (block, "block")) for h, p in rules)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -119,3 +120,56 @@ def decontaminate(rows, items, coverage, least=5):
 
 def thue_morse(n, a="a", b="b"):
     return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+BASE = [
+    (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[1]) >= 6),
+    (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+ALLOWED = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^sha(1|256|384|512)-|(?i:example)")
+
+
+def secret_spans(text):
+    """(start, kind, end) of base spans and of windows of 20 characters with high entropy."""
+    base = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m))
+    added = []
+    for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
+        w = m[0]
+        if not re.search("[A-Za-z]", w) or ALLOWED.search(w):
+            continue
+        least = 3.8 if not re.search("[0-9]", w) else 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.8 if re.search("[A-Z]", w) else 3.7
+        entropy = lambda x: -sum(n / 20 * math.log2(n / 20) for n in Counter(x).values())
+        hot = [i for i in range(len(w) - 19) if entropy(w[i : i + 20]) >= least - 1e-9]
+        if hot:
+            a, b = m.start() + hot[0], m.start() + hot[-1] + 20
+            if not any(x <= a and b <= y for x, _, y in base):
+                added.append((a, 3, b))
+    return base, added
+
+
+def redact(text, mark="[secret]"):
+    out, at = "", 0
+    base, added = secret_spans(text)
+    for a, _, b in sorted(base + added):
+        if a >= at:
+            out += text[at:a] + mark
+        at = max(at, b)
+    return out + text[at:]
+
+
+def language_kept(words, p, pieces, langs, gain, unknown):
+    """Whether a text is kept, by a forward sum word by word; the last column of p is the background."""
+    longest = max(map(len, pieces))
+    total = [0.0] * (len(langs) + 1)
+    for w in words:
+        w = "▁" + w
+        for k in range(len(langs) + 1):
+            a = [1.0] + [0.0] * len(w)
+            for end in range(1, len(w) + 1):
+                for start in range(max(0, end - longest), end):
+                    i = pieces.get(w[start:end])
+                    a[end] += a[start] * (p[i][k] if i is not None else unknown if end - start == 1 else 0.0)
+            total[k] += math.log(a[-1])
+    best = max(total[:-1])
+    return 1 / sum(math.exp(t - best) for t in total[:-1]) >= 0.5 and best - total[-1] >= gain * sum(map(len, words))

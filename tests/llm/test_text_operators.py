@@ -7,6 +7,8 @@ import re
 import zlib
 from itertools import product
 
+import brute as plain
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -65,6 +67,21 @@ def test_language_accuracy_and_odd_texts(spark):
     assert nothing.count() == 0
 
 
+def test_garbage_is_dropped(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    r = random.Random(1)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "xq zkw pqv bnx rtz " * 20, "中文的句子没有空格 " * 10, "12 34 !", "", None]
+    odd = spark.createDataFrame([(9000 + i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = {x["doc_id"] for x in langid.keep_identified(docs.unionByName(odd, allowMissingColumns=True)).select("doc_id").collect()}
+    assert kept == {x["doc_id"] for x in docs.select("doc_id").collect()}
+
+
+def test_long_words_teach():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab"])}
+    p = langid.fit_language({"ab" * 100: 1}, pieces)
+    assert p[pieces["ab"]] > 0.5
+
+
 # packing
 
 
@@ -129,6 +146,15 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_pack_odd_rows(spark):
+    rows = [(1, "a b", 5, 7), (1, "a b", 5, 7), (None, "c", 1, 1), (2, None, None, None), (3, "word " * 30_000, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, length int")
+    got = packing.pack(docs).collect()
+    count = lambda i: sorted(r["length"] for r in got if r["doc_id"] == i)
+    assert count(1) == [3, 3] and count(None) == [2] and count(2) == [1] and sum(count(3)) >= 30_000
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 # decontamination
 
 
@@ -154,6 +180,30 @@ def test_decontaminate(spark, small):
     assert decontam.drop_contaminated(docs_of(spark, texts), bench).count() == 5
 
 
+def test_decontaminate_matches_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(3, 25)))) for k in range(12)] + [(12, "the " * 9), (None, "the " * 9), (13, None)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(words) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 2)):
+            w = r.choice(items[:12])[1].split()
+            a = r.randrange(len(w))
+            parts += w[a:] + ["-"] + w[:a]
+        rows.append((i, " ".join(parts).upper() if i % 2 else ", ".join(parts)))
+    rows += [(60, None), (61, ""), (None, items[3][1]), (62, "the " * 3000), (63, items[4][1]), (63, items[4][1])]
+    for _ in range(40):
+        a, b = ([r.randint(0, 2) for _ in range(r.randint(0, 30))] for _ in range(2))
+        assert decontam.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == plain.tiling(a, b, 3)
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, coverage int")
+    bench = spark.createDataFrame([(*x, "x") for x in items], "item_id long, text string, doc_id string")
+    want = sorted(plain.decontaminate(rows, items, decontam.COVERAGE), key=str)
+    for small in (8 << 20, 0):
+        got = sorted((tuple(x) for x in decontam.decontaminate(docs, bench, small=small).collect()), key=str)
+        assert got == want
+
+
 # secrets
 
 
@@ -193,6 +243,26 @@ def test_entropy_without_mixed_classes(spark, letters):
     assert secrets.scan(docs_of(spark, plain)).where("n_entropy > 0").count() == 0
 
 
+def test_spans_match_brute_force_and_oracle(spark, tmp_path):
+    r = random.Random(21)
+    letters = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef0123456789+/", "ab1", "AB_-="]
+    word = lambda: "".join(r.choice(x) for x in [r.choice(letters)] for _ in range(r.randint(15, 60)))
+    texts = [" ".join([word(), "é日", r.choice(["token=", "AKIA", "Secret: ", ""]) + word(), word()]) for _ in range(150)] + ["", None, "zz " * 50_000 + word(), "x" * 20_000]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1), (None, texts[1], "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, added int")
+    name = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    want = sorted(((i, name(sum(plain.secret_spans(t or ""), []))) for i, t, *_ in rows), key=str)
+    assert sum("entropy" in x for _, x in want) > 50
+    assert sorted(((x["doc_id"], x["spans"]) for x in secrets.scan(docs).collect()), key=str) == want
+    assert sorted((tuple(x) for x in secrets.redact(docs).collect()), key=str) == sorted(((i, None if t is None else plain.redact(t), *x) for i, t, *x in rows), key=str)
+    assert secrets.scan(docs.where("false")).count() == 0
+    once = docs.where("doc_id < 150").dropDuplicates(["doc_id"])
+    once.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(db.execute(secrets.oracle_sql()).fetchall()) == sorted(tuple(x) for x in secrets.scan(once).collect())
+
+
 def test_entropy_beside_base_spans(spark):
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYkq9Zt2"
     inner = "Zx9Yw8Vu7Ts6Rq5Po4Nm" + "0a1b2c3d4e5f6a7b8c9d0e1f" + "Lk3Jh2Gf1Ds0Qw9Er8Ty"
@@ -205,7 +275,7 @@ def test_entropy_beside_base_spans(spark):
 # URLs
 
 
-def test_url_rules(spark, monkeypatch):
+def test_url_rules(spark):
     allow, block = [("org", "/"), ("com", "/fr/")], [("example.org", "/es/"), ("com", "/de/"), ("com", "/fr/")]
     urls = [None, "no", "HTTP://A.ORG", "http://a.ORG/x?y", "://", "x://com/de/", "x://com/de/", "http://org?a/b", "a://b://c.org/d", "http://www.Example.org/es/1", "http://notexample.org/es/", "http://com/fr/1", "http://x..org/", "http:///es/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
@@ -219,10 +289,8 @@ def test_url_rules(spark, monkeypatch):
         best = max(fits, default=(0, None, "allow"))
         return host, path, best[1], best[2]
 
-    for limit in (2_000_000, 1):
-        monkeypatch.setattr(url_filter, "LIST", limit)
-        got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, allow, block).collect()}
-        assert got == {i: brute(u) for i, u in enumerate(urls)}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, allow, block).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
     assert url_filter.judge(pages.where("false"), allow, block).count() == 0
     assert url_filter.judge(pages, [], []).where("verdict = 'allow' and rule is null").count() == len(urls)
 
@@ -261,9 +329,73 @@ def test_html_never_raises_and_keeps_words(spark):
     assert sorted(tuple(x) for x in html_text.extract(pages).collect()) == [(1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
 
 
+def test_html_hidden_parts_and_spans():
+    assert html_text.to_text("<table><tr style='visibility:hidden'><td>no<tr><td>a<td style='visibility:hidden'>no</table>") == "a"
+    assert html_text.to_text("<table><tr><td rowspan=2>long<td>b<tr><td>c<tr><td>d<td>e</table>") == "long  b\n      c\nd     e"
+    assert html_text.to_text("<table><tr><td colspan=2>quite a long heading<td>x<tr><td>a<td>b<td>y</table>") == "quite a long heading  x\na  b                  y"
+    assert html_text.to_text("<input type=submit value='Send &amp; go'><input value=no><input type=reset>") == "Send & goReset"
+    assert html_text.to_text("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><title>no</title><text>label</text></svg>") == "x=2 label"
+    for n in (10, 400, 5000):
+        assert html_text.to_text("a<div style='display:none'>" + "<div>" * n + "no" + "</div>" * n + "no</div>" + "<p>" * 3 + "b") == "a\n\nb"
+        assert html_text.to_text("<div>" * n + "<script>no</script>x" + "</div>" * n + "y") == "x\ny"
+        assert html_text.to_text("<table><tr><td>" * min(n, 400) + "x").split() == ["x"]
+
+
 # pipeline
 
 
+def test_pipeline_matches_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    syllables = {"en": "th er on an re he in ed nd ha".split(), "fr": "eau oux ai é è ou que ier le la".split()}
+    item = " ".join("".join(r.choice(syllables["en"]) for _ in range(3)) for _ in range(30))
+    body = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, body(lang, r.randint(3, 120)), lang) for i in range(60) for lang in [r.choice(["en", "fr"])]]
+    near = rows[5][1].split() * 2
+    rows += [(100, rows[3][1], "en"), (101, " ".join(near), "en"), (102, " ".join([*near[:-1], "changed"]), "en"), (103, body("en", 40) + " " + item.upper() + ". " + body("en", 10), "en")]
+    rows += [(104, f"{body('fr', 30)} token = abcdef123456 {body('fr', 5)}", "fr"), (105, f"{body('en', 30)} wJalrXUtnFEMIK7MDENGbPxRfiCYkq9Zt2", "en"), (106, "qzxw vkjq xxzq " * 30, None), (107, None, "en"), (108, "12 !", "en"), (109, body("en", 3000), "en")]
+    spark.createDataFrame([(*x, "s", len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, "not here at all in any of the texts")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = langid.fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    scorer = model.scorer()
+    left = [(i, t) for i, t, _ in rows if t and re.search(r"[^\W\d_]", t) and plain.language_kept(t.split()[:200], scorer.pieces.p, scorer.pieces.of, model.langs, langid.GAIN, langid.UNKNOWN)]
+    assert {i for i, *_ in rows} - {i for i, _ in left} == {106, 107, 108}
+    kept = {i for i, *_, keep in plain.near_duplicates(left, 80) if keep}
+    assert {100, 101, 102}.isdisjoint(kept) and 5 in kept
+    clean = {i for i, _, ok, *_ in plain.decontaminate([x for x in left if x[0] in kept], [(1, item)], decontam.COVERAGE) if ok}
+    assert kept - clean == {103}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t in left:
+        if i in clean:
+            ids = np.array([*tokenizer.encode(plain.redact(t), add_special_tokens=False).ids, 0], "<u4")
+            want += [(i, n, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for n, a in enumerate(range(0, len(ids), 2048))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == sorted(want)
+    at = {}
+    for x in sorted(got, key=lambda x: (x["sequence_id"], x["offset"])):
+        assert x["offset"] == at.get(x["sequence_id"], 0)
+        at[x["sequence_id"]] = x["offset"] + x["length"]
+    assert max(at.values()) <= 2048
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    extra = {c: docs["n_chars"] for c in ("_score", "_lang_pred", "keep", "gone", "_gone", "hit", "_hit", "base", "added", "_base", "_added", "row", "unit", "rep", "v", "seq")}
+    docs = corpus_pipeline.shared.cut(docs.withColumns(extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() > 0, name
+    assert corpus_pipeline.pack(spark, docs, DATA).count() >= docs.count()
+
+
+# pipeline stages on the given tables
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
