@@ -13,16 +13,18 @@ from graphloom.llm import decontam, langid, packing, secrets, setsketch, shared
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: no letters, or a posterior below one half."""
+    """Drop documents whose language can't be told: no letters, a posterior below one
+    half, or text no more like the language than like any pieces of the vocabulary."""
     shared.small_batches(spark)
-    return langid.keep_identified(docs, least=0.5)
+    return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity 0.8 of five-word shingles) the smallest doc_id stays."""
     shared.small_batches(spark)
-    gone = setsketch.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = shared.fresh(docs, "gone")
+    copies = setsketch.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
