@@ -71,7 +71,7 @@ def shingle_numbers(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np
     out = word[first]
     for k in range(1, SHINGLE):
         _, out = np.unique(out * top + np.where(k < size, word[first + k] + 1, 0), return_inverse=True)
-    return out
+    return out.astype(np.int32)
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray, how_many: int) -> np.ndarray:
@@ -144,13 +144,13 @@ def not_below(larger: np.ndarray, smaller: np.ndarray, n_u: float, n_v: np.ndarr
 
 
 def forest(sets: list[np.ndarray], regs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (index pairs) of a spanning forest of the pairs left x right whose sets
-    meet the threshold: 100 * intersection >= percent * union."""
+    """Links (index pairs) of a spanning forest of the pairs left x right whose sets (of
+    small numbers) meet the threshold: 100 * intersection >= percent * union."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    every, local = np.unique(np.concatenate(sets), return_inverse=True)
+    local = np.concatenate(sets) if n else np.zeros(0, np.int32)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    member = np.zeros(len(every), bool)
+    member = np.zeros(int(local.max(initial=-1)) + 1, bool)
     label = np.arange(n)
     t = percent / 100
     cut = max(0.0, t - MARGIN * np.sqrt(t * (1 - t) / ESTIMATE))
@@ -180,27 +180,41 @@ def forest(sets: list[np.ndarray], regs: np.ndarray, left: np.ndarray, right: np
     return links
 
 
+def _scanned(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Registers of each text, where words start and end, and where each text's words start."""
+    out = []
+    for i, j in S.slices_of(offsets):
+        word, s, e, at = S.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sure=True)
+        first, size, starts = _places(at)
+        full = np.flatnonzero(np.diff(starts))
+        regs = np.zeros((j - i, ESTIMATE), np.uint16)
+        if len(full):
+            regs[full] = registers(shingle_hashes(word, first, size), np.append(starts[full], starts[-1]), ESTIMATE)
+        out.append((regs, s + offsets[i], e + offsets[i], np.diff(at)))
+    regs, s, e, count = (np.concatenate(x) for x in zip(*out, strict=True))
+    return regs, s, e, np.concatenate(([0], np.cumsum(count)))
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in S.whole_groups(batches, "unit"):
+        for table in S.whole_groups(batches, "unit", 2 << 20):
             data, offsets = S.text_bytes(table.column("text"))
             data = S.LOWER[data]
-            word, s, e, at = S.words(data, offsets, sure=True)
-            first, size, starts = _places(at)
-            hashes, exact = shingle_hashes(word, first, size), shingle_numbers(S.word_numbers(data, s, e), first, size)
-            full = np.flatnonzero(np.diff(starts))  # a row that repeats the id of another may be empty
-            starts = np.append(starts[full], len(first))
-            regs = registers(hashes, starts, ESTIMATE)
-            sets = [np.unique(exact[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            unit, ids, sides = (table.column(c).to_numpy()[full] for c in ("unit", "doc_id", "side"))
-            bounds = S.group_bounds(unit)
+            regs, s, e, at = _scanned(data, offsets)
+            ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+            bounds = S.group_bounds(table.column("unit").to_numpy())
             u: list[int] = []
             v: list[int] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                left, right = (np.flatnonzero(sides[a:b] == x) for x in (0, 1))
-                pairs = forest(sets[a:b], regs[a:b], left, right if len(right) else left, percent)
-                u += [int(ids[a + i]) for i, _ in pairs]
-                v += [int(ids[a + j]) for _, j in pairs]
+                x, y = at[a], at[b]
+                first, size, starts = _places(at[a : b + 1] - x)
+                exact = shingle_numbers(S.word_numbers(data[offsets[a] : offsets[b]], s[x:y], e[x:y]), first, size)
+                own = a + np.flatnonzero(np.diff(starts))  # a row that repeats the id of another may be empty
+                sets = [np.unique(exact[starts[d - a] : starts[d - a + 1]]) for d in own]
+                left, right = (np.flatnonzero(side[own] == k) for k in (0, 1))
+                pairs = forest(sets, regs[own], left, right if len(right) else left, percent)
+                u += [int(ids[own[i]]) for i, _ in pairs]
+                v += [int(ids[own[j]]) for _, j in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
