@@ -8,6 +8,8 @@ a slot with more than ``cap`` values is widened: it takes no further ones and is
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,16 @@ def call_targets(flow: DataFrame, calls: DataFrame) -> DataFrame:
     return calls.join(flow, "slot").select("site_id", F.col("value").alias("target")).distinct()
 
 
-def consumed(uses: DataFrame, forwards: DataFrame, rounds: int = 16) -> DataFrame:
+def consumed(uses: DataFrame, forwards: DataFrame) -> DataFrame:
     """Parameters that are used (called, iterated), also through parameters they are
-    forwarded to: param, distance. ``uses``: param; ``forwards``: param, to_param."""
+    forwarded to, however far: param, distance. ``uses``: param; ``forwards``: param,
+    to_param."""
     level = cut(uses.select("param").distinct().withColumn("distance", F.lit(0)))
     known = level
-    for n in range(1, rounds + 1):
+    for n in count(1):
         found = forwards.join(level.select(F.col("param").alias("to_param")), "to_param").select("param").distinct()
         level = cut(found.join(known.select("param"), "param", "left_anti").withColumn("distance", F.lit(n)))
         if level.isEmpty():
             break
-        known = known.unionByName(level)
+        known = cut(known.unionByName(level))
     return known

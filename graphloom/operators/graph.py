@@ -2,13 +2,14 @@
 
 Edges: edge_id, from_uid, to_uid, kind, tier (0 proven, 1 inferred, 2 possible), and any
 other columns. Traversals run level by level; a level is one join of the frontier with
-the edges. The work bound (edges looked at) bounds every frontier, so a frontier may be
-broadcast and numbered in one task.
+the edges. The work bound of ``reach`` (edges looked at) bounds every frontier, so there a
+frontier may be broadcast and numbered in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,20 +159,25 @@ def reach(edges: DataFrame, starts: list[str], reverse: bool = False, include: i
     return Reach(seen, edges_used, work, depth_hit, work_hit)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Hops (hop, from_uid, to_uid, edge_id, kind, tier) of the shortest path; ties go to
-    the earlier node and edge. Empty if there is none, or for a path to itself."""
+def find_path(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, bool]:
+    """Hops (hop, from_uid, to_uid, edge_id, kind, tier) of the shortest path, and whether
+    the depth ended the search while nodes were left to go on from. Ties go to the
+    earlier node and edge. Empty if there is no path, or for a path to itself.
+
+    Levels and the nodes seen are joined as their sizes ask for, not broadcast by force.
+    """
     spark = edges.sparkSession
     view = in_view(edges, include)
     none = view.where("false").select(F.lit(0).alias("hop"), "from_uid", "to_uid", "edge_id", "kind", "tier")
     if source == target:
-        return none
-    frontier = spark.createDataFrame([(source, 0)], "uid string, position int")
+        return none, False
+    frontier = spark.createDataFrame([(source, 0)], "uid string, position long")
     seen, parents = frontier.select("uid"), []
     for depth in range(max_depth):
-        near = F.broadcast(frontier).join(view, F.col("uid") == F.col("from_uid")).join(F.broadcast(seen.select(F.col("uid").alias("to_uid"))), "to_uid", "left_anti")
+        near = view.join(frontier, F.col("uid") == F.col("from_uid")).join(seen.select(F.col("uid").alias("to_uid")), "to_uid", "left_anti")
         best = near.groupBy("to_uid").agg(F.min(F.struct("position", "edge_id", "from_uid", "kind", "tier")).alias("by"))
-        level = cut(best.select(F.col("to_uid").alias("uid"), F.col("by.from_uid").alias("from_uid"), F.col("by.edge_id").alias("edge_id"), F.col("by.kind").alias("kind"), F.col("by.tier").alias("tier"), (F.row_number().over(Window.orderBy("by.position", "by.edge_id")) - 1).alias("position")))
+        # Numbers rise with the order of a distributed sort; they need not be dense.
+        level = cut(best.orderBy("by.position", "by.edge_id").select(F.col("to_uid").alias("uid"), F.col("by.from_uid").alias("from_uid"), F.col("by.edge_id").alias("edge_id"), F.col("by.kind").alias("kind"), F.col("by.tier").alias("tier"), F.monotonically_increasing_id().alias("position")))
         parents.append(level)
         if not level.where(F.col("uid") == target).isEmpty():
             hops, at = [], target
@@ -179,32 +185,74 @@ def shortest_path(edges: DataFrame, source: str, target: str, include: int = INF
                 row = parents[d].where(F.col("uid") == at).first()
                 hops.append((d, row["from_uid"], at, row["edge_id"], row["kind"], row["tier"]))
                 at = row["from_uid"]
-            return spark.createDataFrame(hops[::-1], "hop int, from_uid string, to_uid string, edge_id long, kind string, tier int")
+            return spark.createDataFrame(hops[::-1], "hop int, from_uid string, to_uid string, edge_id long, kind string, tier int"), False
         if level.isEmpty():
-            return none
+            return none, False
         frontier = level.select("uid", "position")
         seen = seen.unionByName(level.select("uid"))
-    return none
+    beyond = view.join(frontier, F.col("uid") == F.col("from_uid"), "left_semi").join(seen.select(F.col("uid").alias("to_uid")), "to_uid", "left_anti")
+    return none, not beyond.isEmpty()
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The hops of ``find_path``."""
+    return find_path(edges, source, target, include, max_depth)[0]
+
+
+class Paths(NamedTuple):
+    """Paths (path_no, nodes) and the bounds that ended the search early."""
+
+    paths: DataFrame
+    depth_hit: bool
+    work_hit: bool
+    paths_hit: bool
+
 
+def find_paths(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS, max_work: int = MAX_WORK) -> Paths:
+    """Simple paths, shortest first, then by their edges in order.
 
-def all_paths(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = 8, max_paths: int = MAX_PATHS) -> DataFrame:
-    """Simple paths, shortest first: path_no, nodes (array). Parallel edges count once."""
+    Parallel edges count once, as the first of them. ``max_work`` bounds the
+    extensions of paths over all levels; where it cuts a level, the extensions that come
+    first by their edges stay. ``depth_hit``: a path at the depth could go on;
+    ``work_hit``: an extension was left out; ``paths_hit``: a further path was found, or
+    one was still open when there were enough.
+    """
     spark = edges.sparkSession
     view = in_view(edges, include).groupBy("from_uid", "to_uid").agg(F.min("edge_id").alias("edge_id"))
     alive = spark.createDataFrame([([source], [])], "nodes array<string>, via array<long>")
     done = [alive.where(F.lit(source == target))]
-    for _ in range(max_depth if source != target else 0):
+    found, work = int(source == target), 0
+    depth_hit = work_hit = open_ = False
+    for depth in range(max_depth + 1 if source != target else 0):
         grown = alive.withColumn("from_uid", F.element_at("nodes", -1)).join(view, "from_uid").where(~F.array_contains("nodes", F.col("to_uid")))
-        level = cut(grown.select(F.concat("nodes", F.array("to_uid")).alias("nodes"), F.concat("via", F.array("edge_id")).alias("via")).limit(MAX_WORK))
-        done.append(level.where(F.element_at("nodes", -1) == target))
-        alive = level.where(F.element_at("nodes", -1) != target)
-        if alive.isEmpty():
+        if depth == max_depth:
+            depth_hit = not grown.isEmpty()
+            break
+        made = grown.select(F.concat("nodes", F.array("to_uid")).alias("nodes"), F.concat("via", F.array("edge_id")).alias("via"))
+        level = cut(made.orderBy("via").limit(max_work - work + 1))
+        n = level.count()
+        if work + n > max_work:
+            work_hit, n = True, max_work - work
+            level = cut(level.orderBy("via").limit(n))
+        work += n
+        ends = F.element_at("nodes", -1) == target
+        done.append(level.where(ends))
+        found += done[-1].count()
+        alive = level.where(~ends)
+        open_ = not alive.isEmpty()
+        if work_hit or found >= max_paths or not open_:
             break
     paths = done[0]
     for more in done[1:]:
         paths = paths.unionByName(more)
     ranked = paths.orderBy(F.size("nodes"), "via").limit(max_paths)
-    return ranked.select((F.row_number().over(Window.orderBy(F.size("nodes"), "via"))).alias("path_no"), "nodes")
+    numbered = ranked.select((F.row_number().over(Window.orderBy(F.size("nodes"), "via"))).alias("path_no"), "nodes")
+    return Paths(numbered, depth_hit, work_hit, found > max_paths or (found == max_paths and open_))
+
+
+def all_paths(edges: DataFrame, source: str, target: str, include: int = INFERRED, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
+    """The paths of ``find_paths``."""
+    return find_paths(edges, source, target, include, max_depth, max_paths).paths
 
 
 def weakest_tier(hops: DataFrame) -> DataFrame:

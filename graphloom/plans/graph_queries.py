@@ -83,7 +83,7 @@ def _j4(t):
 
 @query("J5_all_paths", f"WITH RECURSIVE {A.EDGES_SQL}, {A.view_sql(2)}, r(uid, p) AS (SELECT 'customer:0', ['customer:0'] UNION ALL SELECT to_uid, list_append(p, to_uid) FROM r JOIN (SELECT DISTINCT from_uid, to_uid FROM view) ON from_uid = uid WHERE len(p) <= 8 AND uid <> 'nation:8' AND NOT list_contains(p, to_uid)) SELECT array_to_string(p, '>') AS nodes FROM r WHERE uid = 'nation:8'")
 def _j5(t):
-    return G.all_paths(A.edges(t), "customer:0", "nation:8", G.POSSIBLE).select(F.array_join("nodes", ">").alias("nodes"))
+    return G.all_paths(A.edges(t), "customer:0", "nation:8", G.POSSIBLE, max_depth=8).select(F.array_join("nodes", ">").alias("nodes"))
 
 
 @query("J6_family_closure", f"WITH RECURSIVE {A.EDGES_SQL}, f AS (SELECT from_uid AS a, to_uid AS b FROM edges WHERE kind IN ('overrides', 'implements') UNION SELECT to_uid, from_uid FROM edges WHERE kind IN ('overrides', 'implements')), r(uid) AS (SELECT 'nation:3' UNION SELECT b FROM r JOIN f ON a = uid) SELECT uid FROM r")

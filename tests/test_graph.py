@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from graphloom.operators import flow as V
 from graphloom.operators import graph as G
 
 
@@ -63,6 +64,30 @@ def test_simple_paths(spark):
     assert G.all_paths(e, "0", "3", max_paths=1).count() == 1
 
 
+def test_path_bounds_are_reported(spark):
+    e = edges(spark, CHAIN)
+    hops, depth_hit = G.find_path(e, "0", "5", max_depth=3)
+    assert hops.count() == 0 and depth_hit
+    hops, depth_hit = G.find_path(e, "0", "5", max_depth=5)
+    assert hops.count() == 5 and not depth_hit
+    assert not G.find_path(e, "5", "0")[1]
+    assert not G.find_path(edges(spark, [(0, 1), (1, 0)]), "0", "9", max_depth=1)[1]
+
+
+def test_bounds_of_all_paths(spark):
+    e = edges(spark, [(0, 2), (0, 1), (1, 3), (2, 3), (1, 2)])
+    full = G.find_paths(e, "0", "3")
+    assert [r["nodes"] for r in full.paths.orderBy("path_no").collect()] == [["0", "2", "3"], ["0", "1", "3"], ["0", "1", "2", "3"]]
+    assert full[1:] == (False, False, False)
+    short = G.find_paths(e, "0", "3", max_depth=2)
+    assert short.paths.count() == 2 and short[1:] == (True, False, False)
+    few = G.find_paths(e, "0", "3", max_paths=1)
+    assert few.paths.first()["nodes"] == ["0", "2", "3"] and few.paths_hit
+    cut_off = G.find_paths(e, "0", "3", max_work=3)
+    assert [r["nodes"] for r in cut_off.paths.collect()] == [["0", "2", "3"]] and cut_off.work_hit
+    assert G.find_paths(e, "0", "3", max_work=6)[1:] == (False, False, False)
+
+
 def test_deferred_kinds_are_hidden_from_the_proven_view(spark):
     e = edges(spark, [(0, 1)], {(0, 1): ("creates_generator", 0)})
     assert G.in_view(e, G.PROVEN).count() == 0 and G.in_view(e, G.INFERRED).count() == 1
@@ -88,3 +113,10 @@ def test_receiver_rule_suppresses_the_rest(spark):
     sites = spark.createDataFrame([("s", "o", "dispatch", "call", "awaits", None, ["a", "b"], ["b"], True)], s)
     decisions = spark.createDataFrame([("s", "decided", ["b"])], "site_id string, status string, targets array<string>")
     assert [tuple(r) for r in G.materialize(sites, decisions).collect()] == [("o", "b", "awaits", 0, "s")]
+
+
+def test_consumption_is_followed_however_far(spark):
+    uses = spark.createDataFrame([("20",), ("20",)], "param string")
+    forwards = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [("20", "0")], "param string, to_param string")
+    found = {r["param"]: r["distance"] for r in V.consumed(uses, forwards).collect()}
+    assert found == {str(i): 20 - i for i in range(21)}
