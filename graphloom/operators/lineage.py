@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local one, unless
+    the executors run on other machines."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _drop_written() -> None:
+    for spark, path in _written:
+        try:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001  the session has ended; the cluster cleans its folder
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the table goes when Python ends."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_drop_written)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
