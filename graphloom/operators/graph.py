@@ -3,7 +3,7 @@
 Edges: edge_id, from_uid, to_uid, kind, tier (0 proven, 1 inferred, 2 possible), and any
 other columns. Traversals run level by level; a level is one join of the frontier with
 the edges. The work bound of ``reach`` (edges looked at) bounds every frontier, so there a
-frontier may be broadcast and numbered in one task.
+frontier may be broadcast and numbered in one task; without that bound it is neither.
 """
 
 from __future__ import annotations
@@ -117,29 +117,45 @@ class Reach:
     work_hit: bool
 
 
-def reach(edges: DataFrame, starts: list[str], reverse: bool = False, include: int = INFERRED, max_depth: int = MAX_DEPTH, max_work: int = MAX_WORK, bridges: bool = True) -> Reach:
+def _numbered(rows: DataFrame, by: str, first: int, name: str) -> DataFrame:
+    """Rows numbered from ``first`` in the order of ``by``: sorted in ranges over all tasks,
+    then each range moved by the sizes of those before it."""
+    place = cut(rows.orderBy(by).withColumn("_place", F.monotonically_increasing_id()))
+    task = F.shiftright("_place", 33)
+    starts = []
+    for r in place.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():
+        starts.append((r["task"], first))
+        first += r["n"]
+    found = place.sparkSession.createDataFrame(starts, "_task long, _first long")
+    at = F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return place.withColumn("_task", task).join(F.broadcast(found), "_task").withColumn(name, at).drop("_task", "_first", "_place")
+
+
+def reach(edges: DataFrame, starts: list[str], reverse: bool = False, include: int = INFERRED, max_depth: int = MAX_DEPTH, max_work: int | None = MAX_WORK, bridges: bool = True) -> Reach:
     """Breadth-first reach from several starts.
 
     Distances and discovery order follow a queue: nodes of a level in order, their
     edges by edge_id. ``depth_hit`` only if an unseen node lies beyond the depth;
-    ``work_hit`` if an edge was left unread.
+    ``work_hit`` if an edge was left unread. ``max_work`` None: every edge is read, and
+    levels are joined and numbered as their sizes ask for.
     """
     spark = edges.sparkSession
     view = in_view(edges, include, bridges)
     here, there = ("to_uid", "from_uid") if reverse else ("from_uid", "to_uid")
     steps = view.select(F.col("edge_id"), F.col(here).alias("uid"), F.col(there).alias("other"))
     first = list(dict.fromkeys(starts))
-    seen = spark.createDataFrame([(u, 0, i) for i, u in enumerate(first)], "uid string, distance int, position int")
+    seen = spark.createDataFrame([(u, 0, i) for i, u in enumerate(first)], "uid string, distance int, position long")
     frontier, used, work, depth, count = seen, None, 0, 0, len(first)
     depth_hit = work_hit = False
+    small = F.broadcast if max_work is not None else lambda df: df
     while True:
-        around = F.broadcast(frontier.select("uid", "position")).join(steps, "uid")
-        level = cut(around.orderBy("position", "edge_id").limit(max_work - work + 1))
+        around = small(frontier.select("uid", "position")).join(steps, "uid")
+        level = cut(around if max_work is None else around.orderBy("position", "edge_id").limit(max_work - work + 1))
         n = level.count()
-        if work + n > max_work:
+        if max_work is not None and work + n > max_work:
             work_hit, n = True, max_work - work
             level = level.orderBy("position", "edge_id").limit(n)
-        unseen = level.join(F.broadcast(seen.select(F.col("uid").alias("other"))), "other", "left_anti")
+        unseen = level.join(small(seen.select(F.col("uid").alias("other"))), "other", "left_anti")
         work += n
         if depth >= max_depth:
             depth_hit = not unseen.isEmpty()
@@ -148,8 +164,11 @@ def reach(edges: DataFrame, starts: list[str], reverse: bool = False, include: i
         if not n:
             break
         found = unseen.groupBy("other").agg(F.min(F.struct("position", "edge_id")).alias("by"))
-        numbered = found.select(F.col("other").alias("uid"), F.lit(depth + 1).alias("distance"), (F.row_number().over(Window.orderBy("by")) - 1 + count).cast("int").alias("position"))
-        frontier = cut(numbered)
+        if max_work is None:
+            placed = _numbered(found, "by", count, "position")
+        else:
+            placed = found.withColumn("position", (F.row_number().over(Window.orderBy("by")) - 1 + count).cast("long"))
+        frontier = cut(placed.select(F.col("other").alias("uid"), F.lit(depth + 1).alias("distance"), "position"))
         new = frontier.count()
         seen = cut(seen.unionByName(frontier))
         count, depth = count + new, depth + 1
@@ -299,9 +318,9 @@ def undecided_between(edges: DataFrame, sites: DataFrame, source: str, target: s
     return options.join(ahead, "owner_uid", "left_semi").join(back, "option", "left_semi").select("site_id").distinct()
 
 
-def impact(edges: DataFrame, targets: list[str], include: int = INFERRED, max_depth: int = MAX_DEPTH, cap: int = 200) -> DataFrame:
+def impact(edges: DataFrame, targets: list[str], include: int = INFERRED, max_depth: int = MAX_DEPTH, cap: int = 200, max_work: int | None = MAX_WORK) -> DataFrame:
     """Transitive callers by (distance, uid), direct ones left out, and their total."""
-    found = reach(edges, targets, True, include, max_depth).nodes
+    found = reach(edges, targets, True, include, max_depth, max_work).nodes
     direct = in_view(edges, include).where(F.col("to_uid").isin(targets)).select(F.col("from_uid").alias("uid"))
     rest = found.where("distance >= 2").join(direct, "uid", "left_anti")
     total = rest.count()

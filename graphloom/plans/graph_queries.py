@@ -98,7 +98,7 @@ def _j8(t):
 
 @query("H9_impact", f"{E1}, r(uid, d) AS (SELECT 'nation:4', 0 UNION SELECT from_uid, d + 1 FROM r JOIN view ON to_uid = uid WHERE d < 5), m AS (SELECT uid, min(d) AS distance FROM r GROUP BY uid), k AS (SELECT * FROM m WHERE distance >= 2 AND uid NOT IN (SELECT from_uid FROM view WHERE to_uid = 'nation:4')) SELECT uid, distance, (SELECT count(*) FROM k) AS total FROM k ORDER BY distance, uid LIMIT 200")
 def _h9(t):
-    return G.impact(A.edges(t), ["nation:4"], max_depth=5)
+    return G.impact(A.edges(t), ["nation:4"], max_depth=5, max_work=None)
 
 
 @query("G1_reaching_edges", f"{E1}, r(uid, d) AS (SELECT 'region:1', 0 UNION SELECT from_uid, d + 1 FROM r JOIN view ON to_uid = uid WHERE d < 2), m AS (SELECT uid, min(d) AS d FROM r GROUP BY uid) SELECT a.uid, min(v.tier) AS tier FROM m a JOIN view v ON v.from_uid = a.uid JOIN m b ON b.uid = v.to_uid AND b.d + 1 = a.d GROUP BY a.uid")

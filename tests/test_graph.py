@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
+import duckdb
 import pytest
 
 from graphloom.operators import flow as V
 from graphloom.operators import graph as G
+from graphloom.plans import catalog
 
 
 def edges(spark, pairs, kinds=None):
@@ -120,3 +125,40 @@ def test_consumption_is_followed_however_far(spark):
     forwards = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [("20", "0")], "param string, to_param string")
     found = {r["param"]: r["distance"] for r in V.consumed(uses, forwards).collect()}
     assert found == {str(i): 20 - i for i in range(21)}
+
+
+def test_reach_without_work_bound(spark):
+    pairs = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(i, (i * 11 + 1) % 50) for i in range(50)]
+    e = edges(spark, pairs)
+    bounded, whole = G.reach(e, ["4", "9"], max_depth=4), G.reach(e, ["4", "9"], max_depth=4, max_work=None)
+    order = lambda found: [tuple(r) for r in found.nodes.select("uid", "distance", "position").orderBy("position").collect()]
+    assert order(whole) == order(bounded) and (whole.work, whole.depth_hit, whole.work_hit) == (bounded.work, bounded.depth_hit, False)
+
+
+@pytest.fixture
+def low_bounds(monkeypatch):
+    """The default work bound of every function that takes one, at two edges."""
+    for name in ("reach", "impact"):
+        function = getattr(G, name)
+        places = list(function.__code__.co_varnames[: function.__code__.co_argcount])
+        defaults = list(function.__defaults__)
+        if "max_work" in places:
+            defaults[places.index("max_work") - len(places)] = 2
+        monkeypatch.setattr(function, "__defaults__", tuple(defaults))
+
+
+def rows_and_oracle(spark, name, folder="/root/testdata/sf0.001"):
+    sql = catalog.ORACLE_SQL[name]
+    con = duckdb.connect()
+    for f in glob.glob(f"{folder}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    got = catalog.QUERIES[name](spark, folder)
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.sql(f"select {columns} from ({sql})").fetchall()
+    return sorted(map(tuple, got.collect())), sorted(want)
+
+
+@pytest.mark.parametrize("name", ["H9_impact"])
+def test_work_bound_cuts_no_query(spark, low_bounds, name):
+    got, want = rows_and_oracle(spark, name)
+    assert got == want
