@@ -71,7 +71,7 @@ def _j2(t):
 
 @query("J3_reach_reverse", f"{E1}, r(uid, d) AS (SELECT 'region:2', 0 UNION SELECT from_uid, d + 1 FROM r JOIN view ON to_uid = uid WHERE d < 3) SELECT uid, min(d) AS distance FROM r GROUP BY uid")
 def _j3(t):
-    return G.reach(A.edges(t), ["region:2"], reverse=True, max_depth=3).nodes.select("uid", "distance")
+    return G.reach(A.edges(t), ["region:2"], reverse=True, max_depth=3, max_work=None).nodes.select("uid", "distance")
 
 
 @query("J4_shortest_path", f"{E1}, r(uid, d, p) AS (SELECT 'order:2', 0, ['order:2'] UNION ALL SELECT to_uid, d + 1, list_append(p, to_uid) FROM r JOIN view ON from_uid = uid WHERE d < 6 AND NOT list_contains(p, to_uid)), b AS (SELECT p FROM r WHERE starts_with(uid, 'region:') ORDER BY d, uid LIMIT 1) SELECT CAST(i - 1 AS INT) AS hop, p[i] AS from_uid, p[i + 1] AS to_uid FROM (SELECT p, unnest(range(1, len(p))) AS i FROM b)")
