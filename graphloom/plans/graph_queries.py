@@ -104,7 +104,7 @@ def _h9(t):
 @query("G1_reaching_edges", f"{E1}, r(uid, d) AS (SELECT 'region:1', 0 UNION SELECT from_uid, d + 1 FROM r JOIN view ON to_uid = uid WHERE d < 2), m AS (SELECT uid, min(d) AS d FROM r GROUP BY uid) SELECT a.uid, min(v.tier) AS tier FROM m a JOIN view v ON v.from_uid = a.uid JOIN m b ON b.uid = v.to_uid AND b.d + 1 = a.d GROUP BY a.uid")
 def _g1(t):
     flipped = A.edges(t).select("edge_id", F.col("to_uid").alias("from_uid"), F.col("from_uid").alias("to_uid"), "kind", "tier")
-    found = G.reach(flipped, ["region:1"], max_depth=2)
+    found = G.reach(flipped, ["region:1"], max_depth=2, max_work=None)
     return G.reaching_edges(flipped, found, G.INFERRED).select("uid", "tier")
 
 

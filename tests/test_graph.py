@@ -158,7 +158,7 @@ def rows_and_oracle(spark, name, folder="/root/testdata/sf0.001"):
     return sorted(map(tuple, got.collect())), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["H9_impact", "J10_mention_names", "J3_reach_reverse"])
+@pytest.mark.parametrize("name", ["H9_impact", "J10_mention_names", "J3_reach_reverse", "G1_reaching_edges"])
 def test_work_bound_cuts_no_query(spark, low_bounds, name):
     got, want = rows_and_oracle(spark, name)
     assert got == want
