@@ -54,3 +54,9 @@ def test_arity_of_a_large_family(spark, tmp_path):
     orders = [(5 * i, 50 * i) for i in range(300)]
     got, rows = agree(spark, tmp_path, "D20_arity_excludes", part=(part, "p_partkey long"), orders=(orders, "o_orderkey long, o_custkey long"))
     assert len(rows) == 300 and 0 < largest_join(got) <= 2_000
+
+
+def test_dispatch_into_many_implementations(spark, tmp_path):
+    supplier, customer = [(i, 3) for i in range(500)], [(i, f"c{i}", 3) for i in range(200)]
+    got, rows = agree(spark, tmp_path, "O2_dispatch", supplier=(supplier, "s_suppkey long, s_nationkey int"), customer=(customer, "c_custkey long, c_name string, c_nationkey int"))
+    assert len(rows) == 200 and 0 < largest_join(got) <= 2_000
