@@ -60,3 +60,9 @@ def test_dispatch_into_many_implementations(spark, tmp_path):
     supplier, customer = [(i, 3) for i in range(500)], [(i, f"c{i}", 3) for i in range(200)]
     got, rows = agree(spark, tmp_path, "O2_dispatch", supplier=(supplier, "s_suppkey long, s_nationkey int"), customer=(customer, "c_custkey long, c_name string, c_nationkey int"))
     assert len(rows) == 200 and 0 < largest_join(got) <= 2_000
+
+
+def test_calls_of_one_name_without_target(spark, tmp_path):
+    part = [(i, "n", "l", i % 21) for i in range(600)]
+    got, rows = agree(spark, tmp_path, "O5_no_target", part=(part, "p_partkey long, p_name string, p_type string, p_size int"))
+    assert len(rows) > 400 and 0 < largest_join(got) <= 4_000
