@@ -66,3 +66,9 @@ def test_calls_of_one_name_without_target(spark, tmp_path):
     part = [(i, "n", "l", i % 21) for i in range(600)]
     got, rows = agree(spark, tmp_path, "O5_no_target", part=(part, "p_partkey long, p_name string, p_type string, p_size int"))
     assert len(rows) > 400 and 0 < largest_join(got) <= 4_000
+
+
+def test_conformance_of_many_classes(spark, tmp_path):
+    orders = [(i, s) for i in range(300) for s in "FOP"]
+    got, rows = agree(spark, tmp_path, "E16_implementations", orders=(orders, "o_custkey long, o_orderstatus string"))
+    assert len(rows) == 30 * 299 and 0 < largest_join(got) <= 9_000
