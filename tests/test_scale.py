@@ -80,7 +80,7 @@ def test_conformance_of_many_classes(spark, tmp_path):
     assert len(rows) == 30 * 299 and 0 < largest_join(got) <= 9_000
 
 
-@pytest.mark.parametrize("name", ["E24_c_abi", "E26_cgo", "E25_jni", "E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql"])
+@pytest.mark.parametrize("name", ["E24_c_abi", "E26_cgo", "E25_jni", "E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql", "E38_messages"])
 def test_links_of_a_frequent_name(spark, tmp_path, name):
     customer, supplier = [(i, 1) for i in range(200)], [(i, 2) for i in range(150)]
     got, rows = agree(spark, tmp_path, name, customer=(customer, "c_custkey long, c_nationkey int"), supplier=(supplier, "s_suppkey long, s_nationkey int"))
