@@ -87,7 +87,7 @@ def test_links_of_a_frequent_name(spark, tmp_path, name):
     assert len(rows) >= 10_000 and 0 < largest(got, "Exchange", "shuffleRecordsWritten") <= 5_000
 
 
-@pytest.mark.parametrize("name", ["E26_cgo", "E25_jni", "E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql"])
+@pytest.mark.parametrize("name", ["E26_cgo", "E25_jni", "E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql", "E38_messages"])
 def test_uses_meet_bundles_of_providers(spark, tmp_path, name):
     customer, supplier = [(i, 1 + i % 2) for i in range(200)], [(i, 2) for i in range(150)] + [(i, 4) for i in range(150, 300)]
     got, rows = agree(spark, tmp_path, name, customer=(customer, "c_custkey long, c_nationkey int"), supplier=(supplier, "s_suppkey long, s_nationkey int"))
