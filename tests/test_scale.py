@@ -109,7 +109,7 @@ def shuffled(df):
     return rows, seen
 
 
-@pytest.mark.parametrize("name", ["E25_jni", "E27_ffi", "E38_messages", "E32_grpc", "E28_python_uses"])
+@pytest.mark.parametrize("name", ["E25_jni", "E27_ffi", "E38_messages", "E32_grpc", "E28_python_uses", "E33_graphql"])
 def test_uses_are_shuffled_three_times(spark, tmp_path, name):
     customer, supplier = [(i, 1) for i in range(2_000)], [(2, 2), (4, 2), (6, 4)]
     got, rows = agree(spark, tmp_path, name, customer=(customer, "c_custkey long, c_nationkey int"), supplier=(supplier, "s_suppkey long, s_nationkey int"))
