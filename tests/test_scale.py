@@ -117,7 +117,7 @@ def test_uses_are_shuffled_three_times(spark, tmp_path, name):
     assert len(rows) > 1_000 and exchanges > 3 and written <= (3 + ("E27" in name or "E38" in name)) * 2_000 + 500
 
 
-@pytest.mark.parametrize("name", ["E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql"])
+@pytest.mark.parametrize("name", ["E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql", "E38_messages"])
 def test_uses_of_one_row_are_shuffled_at_most_once(spark, tmp_path, name):
     customer, supplier = [(i, 1 + i % 2) for i in range(2_000)], [(2, 2), (4, 2), (6, 4)]
     got, rows = agree(spark, tmp_path, name, customer=(customer, "c_custkey long, c_nationkey int"), supplier=(supplier, "s_suppkey long, s_nationkey int"))
