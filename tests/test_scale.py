@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 from graphloom.operators import bridges as B
+from graphloom.operators import families as M
 from graphloom.plans import catalog
 
 
@@ -83,6 +84,14 @@ def test_conformance_of_many_classes(spark, tmp_path):
     assert len(rows) == 30 * 299 and 0 < largest_join(got) <= 9_000
 
 
+@pytest.mark.parametrize("few", [10, 0])
+def test_classes_are_shuffled_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW", few, raising=False)
+    orders = [(i, s) for i in (0, 10, 20, 30, *(i for i in range(2_400) if i % 10)) for s in ("FO" if i % 20 else "OP")] + [(40, None), (None, "F"), (41, "F"), (41, None)]
+    got, rows = agree(spark, tmp_path, "E16_implementations", orders=(orders, "o_custkey long, o_orderstatus string"))
+    assert len(rows) > 4_000 and 0 < shuffled(got)[0] <= 2_300
+
+
 @pytest.mark.parametrize("name", ["E24_c_abi", "E26_cgo", "E25_jni", "E32_grpc", "E27_ffi", "E28_python_uses", "E33_graphql", "E38_messages"])
 def test_links_of_a_frequent_name(spark, tmp_path, name):
     customer, supplier = [(i, 1) for i in range(200)], [(i, 2) for i in range(150)]
